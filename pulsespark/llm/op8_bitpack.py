@@ -9,6 +9,10 @@ Spark can write to holds them.
 
 from __future__ import annotations
 
+import functools
+import itertools
+import os
+import re
 import struct
 import uuid
 import zlib
@@ -25,7 +29,8 @@ HEADER = struct.Struct("<4sIQQ")
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 BLOCK_IDS = 1 << 18
-CACHE_WORDS = 400_000
+#: Pieces, and parts of them, that a worker remembers (about 200 bytes each).
+CACHE_WORDS = 700_000
 
 
 def width_for(vocabulary: int) -> int:
@@ -75,54 +80,114 @@ def unpack(block: bytes, start: int = 0, count: int | None = None) -> np.ndarray
     return out.reshape(-1)[skip : skip + count]
 
 
+#: A run of Latin letters and the ASCII punctuation after it: the tokenizer splits exactly there.
+_WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
+
+
 class WordEncoder:
     """Encodes texts piece by piece, where white space (a blank or a line feed) splits them.
 
     The tokenizer's normalizer and splitter never join characters across white space, so the ids of a text are those of
-    its pieces in order. Each distinct piece is encoded once while it stays in a bounded cache.
+    its pieces in order. Pieces made of Latin letters and then punctuation are split once more, as the tokenizer does.
+    Each distinct part is encoded once while it stays in a cache of bounded size, which a worker keeps between tasks.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self._reset()
-
-    def _reset(self) -> None:
+        self.size, self.cache = self.tokenizer.get_vocab_size(with_added_tokens=True), cache
+        self.ends_word = np.zeros(self.size, bool)
+        self.ends_word[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        """Rows are pieces (two parts each, the second often the empty part 0); parts are runs of ids in `flat`."""
+        self.parts: dict[str, int] = {"": 0}
+        self.part_starts, self.part_counts = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+        self.flat, self.used = np.zeros(1 << 18, np.int32), 0
+        self._forget_pieces()
+
+    def _forget_pieces(self) -> None:
         self.index: dict[str, int] = {"": 0}
-        self.starts, self.counts, self.flat, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32), 0
+        self.rows = np.zeros((1 << 16, 2), np.int32)
+
+    def _add_parts(self, new: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        at, n = len(self.parts), len(new)
+        while at + n > len(self.part_starts):
+            self.part_starts, self.part_counts = np.concatenate([self.part_starts] * 2), np.concatenate([self.part_counts] * 2)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.part_counts[at : at + n] = counts
+        self.part_starts[at : at + n] = self.used + np.cumsum(counts) - counts
+        self.used += len(ids)
+        self.parts.update(zip(new, range(at, at + n), strict=True))
+
+    def _encode_parts(self, new: list[str], letters: bool) -> None:
+        if not new:
+            return
+        if letters:  # together: each word ends with the one id that ends a word
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.int32)
+            cuts = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(cuts) == len(new):
+                return self._add_parts(new, ids, np.diff(cuts, prepend=0))
+        each = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        self._add_parts(new, np.array([i for x in each for i in x], np.int32), np.array([len(x) for x in each], np.int32))
 
     def _learn(self, new: list[str]) -> None:
-        for word, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            ids, at = e.ids, len(self.index)
-            if at >= len(self.starts):
-                self.starts, self.counts = np.concatenate([self.starts] * 2), np.concatenate([self.counts] * 2)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.starts[at], self.counts[at] = self.used, len(ids)
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.index[word] = at
+        lead, tail, odd = [], [], set()
+        for w in new:
+            if m := _WORD.fullmatch(w):
+                lead.append(m[1].lower())
+                tail.append(m[2])
+            else:
+                lead.append(w)
+                tail.append("")
+                odd.add(w)
+        parts = self.parts
+        unknown = set(lead).difference(parts)
+        self._encode_parts(list(unknown - odd), True)
+        self._encode_parts(list((unknown & odd) | set(tail).difference(parts)), False)
+        at, n = len(self.index), len(new)
+        while at + n > len(self.rows):
+            self.rows = np.concatenate([self.rows] * 2)
+        self.rows[at : at + n, 0] = np.fromiter(map(parts.__getitem__, lead), np.int32, n)
+        self.rows[at : at + n, 1] = np.fromiter(map(parts.__getitem__, tail), np.int32, n)
+        self.index.update(zip(new, range(at, at + n), strict=True))
 
     def encode(self, texts: list[str | None], end: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each text)."""
-        if len(self.index) > CACHE_WORDS:
-            self._reset()
-        pieces = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = dict.fromkeys(w for p in pieces for w in p if w not in self.index)
-        if new:
-            self._learn(list(new))
-        get = self.index.__getitem__
-        at = np.fromiter((get(w) for p in pieces for w in p), np.int64, sum(map(len, pieces)))
-        counts = self.counts[at]
-        ids = self.flat[ragged(self.starts[at], counts)]
-        per = np.add.reduceat(counts, np.concatenate([[0], np.cumsum([len(p) for p in pieces])[:-1]]).astype(np.int64)) if pieces else np.zeros(0, np.int64)
+        if not texts:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        if len(self.parts) > self.cache:
+            self._forget()
+        elif len(self.index) > self.cache:
+            self._forget_pieces()
+        blank = [(t or "").replace("\n", " ") for t in texts]
+        pieces = " ".join(blank).split(" ")
+        at = np.fromiter(map(self.index.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            self._learn(list(dict.fromkeys(pieces[i] for i in missing)))
+            at[missing] = [self.index[pieces[i]] for i in missing]
+        part = self.rows[at].reshape(-1)
+        cuts = np.concatenate([[0], np.cumsum([t.count(" ") + 1 for t in blank])])
+        per = np.add.reduceat(self.part_counts[part], 2 * cuts[:-1], dtype=np.int64)
+        part = part[part > 0]
+        ids = self.flat[ragged(self.part_starts[part], self.part_counts[part])]
         if end is None:
             return ids, per
         return np.insert(ids, np.cumsum(per), end), per + 1
 
 
+@functools.cache
+def encoder_for(path: str) -> WordEncoder:
+    """One encoder a worker."""
+    return WordEncoder(path)
+
+
 def tokenizer_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
@@ -145,7 +210,7 @@ def write_ids(docs: DataFrame, tokenizer: str | None = None, end: int = END_ID,
     plan = plan.withColumn("shard", F.spark_partition_id()).sortWithinPartitions(F.col("d").asc_nulls_first(), F.col("t").asc_nulls_first())
 
     def encode(batches):
-        encoder = WordEncoder(tokenizer)
+        encoder = encoder_for(tokenizer)
         width = width_for(encoder.size)
         out: list[tuple] = []
         shard_now, block, held, ids, counts = None, 0, [], [], []
