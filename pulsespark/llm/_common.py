@@ -21,6 +21,9 @@ U64 = np.uint64
 #: ASCII white space of ``[\x20\x09-\x0D]``.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes of letters and digits (all bytes of other alphabets count as such).
+ALNUM = np.zeros(256, bool)
+ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -76,9 +79,12 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = CHUNK_BYTES):
         at = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+``, and the index of each text's first word (n + 1 values)."""
-    solid = ~SPACE[data]
+def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = ~SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+``, and the index of each text's first word (n + 1 values).
+
+    `inside` says which bytes make up a word.
+    """
+    solid = inside[data]
     before = np.empty_like(solid)
     before[1:] = solid[:-1]
     first = offsets[:-1][offsets[1:] > offsets[:-1]]

@@ -11,6 +11,8 @@ from pulsespark.llm.op3_language import op3_language
 from pulsespark.llm.op4_html import op4_html
 from pulsespark.llm.op5_mixing import op5_mixing
 from pulsespark.llm.op8_bitpack import op8_bitpack
+from pulsespark.llm.op9_bm25 import op9_bm25
+from pulsespark.llm.op10_superminhash import op10_superminhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
@@ -18,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html": op4_html,
     "op5_mixing": op5_mixing,
     "op8_bitpack": op8_bitpack,
+    "op9_bm25": op9_bm25,
+    "op10_superminhash": op10_superminhash,
 }
 
 #: SQL where it can express the operator. Models, schedules, codecs and approximate searches are held against
