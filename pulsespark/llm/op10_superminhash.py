@@ -150,19 +150,21 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def similar_within(rows: DataFrame, percent: int, first: int | None) -> DataFrame:
     """Pairs (a, b) of different components in a bucket whose signatures may reach the similarity.
 
-    rows: key, n (rows of the key), d, size, sig, c (component so far). A bucket is dealt out as pairs of blocks of
+    A pair is given only by the first band whose
+    slots all agree, so once over all buckets. rows: key, band, n (rows of the key), d, size, sig, c (component so far). A bucket is dealt out as pairs of blocks of
     about BLOCK rows, so no task sees a whole large one. `first`: only that many likeliest partners of each document.
     """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = rows.withColumn("nb", blocks).withColumn("i", F.pmod(F.xxhash64("d"), F.col("nb")).cast("int"))
     rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rows = rows.select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "d", "size", "c", "sig")
+    rows = rows.select("key", "band", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "d", "size", "c", "sig")
 
     def run(table: pa.Table) -> pa.Table:
         d, size, c, i = (table.column(x).to_numpy() for x in ("d", "size", "c", "i"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u4").reshape(len(d), -1)
         share = percent / 100
         least = (share - ERRORS * np.sqrt(share * (1 - share) / sig.shape[1])) * sig.shape[1]
+        band = table.column("band")[0].as_py()
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
         left, right = np.flatnonzero(i == lo), np.flatnonzero(i == hi)
         a, b = [], []
@@ -170,16 +172,19 @@ def similar_within(rows: DataFrame, percent: int, first: int | None) -> DataFram
             v = right[(c[right] != c[u]) & (size[right] * 100 >= percent * size[u]) & (size[u] * 100 >= percent * size[right])]
             if lo == hi and first is None:
                 v = v[d[v] > d[u]]
-            agree = (sig[v] == sig[u]).sum(axis=1)
-            v, agree = v[agree >= least], agree[agree >= least]
+            same = sig[v] == sig[u]
+            agree = same.sum(axis=1)
+            own = (agree >= least) & (same.reshape(len(v), -1, ROWS).all(axis=2).argmax(axis=1) == band)
+            v, agree = v[own], agree[own]
             if first is not None and len(v) > first:
                 v = v[np.lexsort((d[v], -agree))[:first]]
             a.append(np.full(len(v), d[u]))
             b.append(d[v])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        seen = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        return pa.table({"a": seen[0], "b": seen[1]})
 
-    return rows.groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long").distinct()
+    return rows.groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -198,9 +203,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
     base = stored(signatures(docs, doc_id, text), "signatures")
     alike = base.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep"))
     reps = alike.select(F.col("rep").alias("doc_id"), "n_shingles", "set_a", "set_b")
-    bands = base.join(reps, ["doc_id", "n_shingles", "set_a", "set_b"], "left_semi").select(F.col("doc_id").alias("d"), F.explode("keys").alias("key"))
+    bands = base.join(reps, ["doc_id", "n_shingles", "set_a", "set_b"], "left_semi").select(F.col("doc_id").alias("d"), F.posexplode("keys").alias("band", "key"))
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = stored(bands.join(shared, "key").select("key", "n", "d"), "buckets")
+    buckets = stored(bands.join(shared, "key").select("key", "band", "n", "d"), "buckets")
     ids = buckets.select("d").distinct()
     small = ids.count() <= BROADCAST_IDS
     some = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).join(F.broadcast(ids) if small else ids, "d", "left_semi")
@@ -212,7 +217,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
     links = stored(confirm(pairs, sets, percent), "links")
     for first in (FIRST, None):
         found = stored(components(links), "components")
-        rows = buckets.join(F.broadcast(found) if small else found, F.col("d") == F.col("node"), "left").select("key", "n", "d", F.coalesce("component", "d").alias("c"))
+        rows = buckets.join(F.broadcast(found) if small else found, F.col("d") == F.col("node"), "left").select("key", "band", "n", "d", F.coalesce("component", "d").alias("c"))
         open_keys = rows.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key")
         rows = rows.join(open_keys, "key", "left_semi").join(base.select(F.col("doc_id").alias("d"), F.col("n_shingles").alias("size"), "sig"), "d")
         more = stored(confirm(similar_within(rows, percent, first), sets, percent), "links")

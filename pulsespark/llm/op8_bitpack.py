@@ -29,6 +29,8 @@ HEADER = struct.Struct("<4sIQQ")
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 BLOCK_IDS = 1 << 18
+#: Rows of the block table (three numbers each) that are broadcast at most; beyond it the join shuffles.
+BROADCAST_BLOCKS = 1 << 18
 #: Pieces, and parts of them, that a worker remembers (about 200 bytes each).
 CACHE_WORDS = 700_000
 
@@ -265,7 +267,8 @@ def read_ids(blocks: DataFrame) -> DataFrame:
     per_shard = totals.groupBy("shard").agg(F.sum("n").alias("n"))
     before = per_shard.alias("x").selectExpr("shard", "sum(n) over (order by shard) - n as shard_start")
     starts = totals.selectExpr("shard", "block", "sum(n) over (partition by shard order by block) - n as block_start").join(before, "shard").selectExpr("shard", "block", "shard_start + block_start as start")
-    placed = blocks.join(starts, ["shard", "block"])
+    few = totals.count() <= BROADCAST_BLOCKS
+    placed = blocks.join(F.broadcast(starts) if few else starts, ["shard", "block"])
 
     def read(batches):
         for batch in batches:

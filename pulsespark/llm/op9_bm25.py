@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +55,7 @@ class Index:
 
 
 def _hashes(text: str) -> np.ndarray:
-    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    data = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)
     starts, ends, _ = words(data, np.array([0, len(data)]), ALNUM)
     return span_hashes(data, starts, ends)
 
@@ -177,7 +178,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     """(doc_id, item_id, score, question_overlap, answer_overlap): documents that hold a test item, one row per pair.
 
     A passage qualifies if it reaches THRESHOLD of the item's own BM25 score, and OVERLAP of the question's 5-word
-    shingles (its words, if fewer) and of the answer's words. Texts are split at anything but letters and digits, A-Z in lower case. Null and
+    shingles (its words, if fewer) and of the answer's words. Texts are split at anything but letters and digits, in lower case. Null and
     empty texts and items hold nothing. Rows that repeat a doc_id each count. The items' size is measured first: an
     index holds INDEX_BYTES of them, and is broadcast; larger benchmarks take several indexes, each searched by all
     passages, and statistics of each are its own.
@@ -195,7 +196,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
             index = shared.value
             for batch in batches:
                 for part in slices(batch, "t"):
-                    got = search(index, *utf8(part.column("t")))
+                    got = search(index, *utf8(pc.utf8_lower(part.column("t"))))
                     if got:
                         x, i, s, q, a = zip(*got, strict=True)
                         yield pa.RecordBatch.from_arrays([part.column("d").take(pa.array(x, pa.int64())), pa.array(index.ids[list(i)]), pa.array(s), pa.array(q), pa.array(a)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
