@@ -150,9 +150,9 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def similar_within(rows: DataFrame, percent: int, first: int | None) -> DataFrame:
     """Pairs (a, b) of different components in a bucket whose signatures may reach the similarity.
 
-    A pair is given only by the first band whose
-    slots all agree, so once over all buckets. rows: key, band, n (rows of the key), d, size, sig, c (component so far). A bucket is dealt out as pairs of blocks of
-    about BLOCK rows, so no task sees a whole large one. `first`: only that many likeliest partners of each document.
+    rows: key, band, n (rows of the key), d, size, sig, c (component so far). A pair is given only by the first band
+    whose slots all agree, so once over all buckets. A bucket is dealt out as pairs of blocks of about BLOCK rows, so no
+    task sees a whole large one. `first`: only that many likeliest partners of each document.
     """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = rows.withColumn("nb", blocks).withColumn("i", F.pmod(F.xxhash64("d"), F.col("nb")).cast("int"))
@@ -174,7 +174,7 @@ def similar_within(rows: DataFrame, percent: int, first: int | None) -> DataFram
                 v = v[d[v] > d[u]]
             same = sig[v] == sig[u]
             agree = same.sum(axis=1)
-            own = (agree >= least) & (same.reshape(len(v), -1, ROWS).all(axis=2).argmax(axis=1) == band)
+            own = (agree >= least) & (same.reshape(len(v), sig.shape[1] // ROWS, ROWS).all(axis=2).argmax(axis=1) == band)
             v, agree = v[own], agree[own]
             if first is not None and len(v) > first:
                 v = v[np.lexsort((d[v], -agree))[:first]]
