@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pulsespark.llm.op1_suffix import op1_suffix
 from pulsespark.llm.op2_quality import op2_quality
 from pulsespark.llm.op3_language import op3_language
 from pulsespark.llm.op4_html import op4_html
@@ -16,6 +17,7 @@ from pulsespark.llm.op9_bm25 import op9_bm25
 from pulsespark.llm.op10_superminhash import op10_superminhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix": op1_suffix,
     "op2_quality": op2_quality,
     "op3_language": op3_language,
     "op4_html": op4_html,
