@@ -33,7 +33,7 @@ GROUP_BYTES = 6 << 20
 #: only sets this order, which any list leaves right; it has about SAMPLE_BYTES, and the list 60 / HOT_SHARE entries at most.
 HOT_SHARE, HOT_LEAST, SAMPLE_BYTES = 0.004, 20, 32 << 20
 NO_ID = -(1 << 63)
-_POS = U64((1 << 24) - 1)
+_POS = U64((1 << 28) - 1)  # texts up to 256 MB
 
 
 class Pieces:
@@ -49,11 +49,11 @@ class Pieces:
         np.cumsum(BYTE[data] * powers(BASE, n), out=prefix[1:])
         scale = powers(BASE_INV, n + 1)
         gram = mix((prefix[ANCHOR:] - prefix[:-ANCHOR]) * scale[: n - ANCHOR + 1])
-        order = gram >> U64(25)
+        order = gram >> U64(29)
         if len(hot):
             at = np.minimum(np.searchsorted(hot, gram), len(hot) - 1)
-            order[hot[at] == gram] |= U64(1 << 39)
-        order = (order << U64(24)) | np.arange(len(order), dtype=U64)
+            order[hot[at] == gram] |= U64(1 << 35)
+        order = (order << U64(28)) | np.arange(len(order), dtype=U64)
         k, least = 1, order
         while 2 * k <= w:
             least = np.minimum(least[:-k], least[k:])

@@ -12,6 +12,7 @@ from pulsespark.llm.op3_language import op3_language
 from pulsespark.llm.op4_html import op4_html
 from pulsespark.llm.op5_mixing import op5_mixing
 from pulsespark.llm.op6_gif import op6_gif
+from pulsespark.llm.op7_windows import op7_windows
 from pulsespark.llm.op8_bitpack import op8_bitpack
 from pulsespark.llm.op9_bm25 import op9_bm25
 from pulsespark.llm.op10_superminhash import op10_superminhash
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html": op4_html,
     "op5_mixing": op5_mixing,
     "op6_gif": op6_gif,
+    "op7_windows": op7_windows,
     "op8_bitpack": op8_bitpack,
     "op9_bm25": op9_bm25,
     "op10_superminhash": op10_superminhash,
