@@ -1,0 +1,221 @@
+"""Signal kernels that SQL cannot express, in numpy, over whole batches: axis 0 is the signal, axis 1 is time."""
+
+from __future__ import annotations
+
+import numpy as np
+
+from pulsespark.settings import PULSE_BAND, SMOOTHNESS
+
+
+def butterworth_bandpass(low: float, high: float, fs: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Second-order Butterworth band-pass as two biquads (b, a), unit gain at the centre."""
+    if not 0 < low < high < fs / 2:
+        raise ValueError("band must lie between 0 and half the sampling rate")
+    w1, w2 = 2 * fs * np.tan(np.pi * low / fs), 2 * fs * np.tan(np.pi * high / fs)
+    width, centre2 = w2 - w1, w1 * w2
+    poles = []
+    for p in np.exp(1j * np.pi * np.array([3, 5]) / 4):
+        half = p * width / 2
+        root = np.sqrt(half * half - centre2)
+        poles += [half + root, half - root]
+    z = np.array([(2 * fs + p) / (2 * fs - p) for p in poles])
+    z = z[z.imag > 0]
+    centre = np.exp(2j * np.pi * np.arctan(np.sqrt(centre2) / (2 * fs)) / np.pi)
+    out = []
+    for p in z:
+        a = np.array([1.0, -2 * p.real, abs(p) ** 2])
+        b = np.array([1.0, 0.0, -1.0])
+        gain = abs(np.polyval(a, centre) / np.polyval(b, centre))
+        out.append((b * gain, a))
+    return out
+
+
+def _biquad(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """One section along time for all signals at once, started as if the first sample had always been there."""
+    y = np.empty_like(x)
+    steady = b.sum() / a.sum()
+    x1 = x2 = x[:, 0]
+    y1 = y2 = x[:, 0] * steady
+    for i in range(x.shape[1]):
+        now = b[0] * x[:, i] + b[1] * x1 + b[2] * x2 - a[1] * y1 - a[2] * y2
+        x2, x1, y2, y1 = x1, x[:, i], y1, now
+        y[:, i] = now
+    return y
+
+
+def bandpass(x: np.ndarray, fs: float, band: tuple[float, float] = PULSE_BAND) -> np.ndarray:
+    """Zero-phase band-pass: forward and backward over an odd extension of up to 15 samples."""
+    x = np.atleast_2d(np.asarray(x, float))
+    n = x.shape[1]
+    if n < 2:
+        return np.zeros_like(x)
+    pad = min(15, n - 1)
+    y = np.hstack([2 * x[:, :1] - x[:, pad:0:-1], x, 2 * x[:, -1:] - x[:, -2 : -pad - 2 : -1]])
+    for _ in range(2):
+        for b, a in butterworth_bandpass(*band, fs):
+            y = _biquad(b, a, y)
+        y = y[:, ::-1]
+    return y[:, pad : pad + n]
+
+
+def detrend(x: np.ndarray, smoothness: float = SMOOTHNESS) -> np.ndarray:
+    """x less its smooth trend, by a penalty on second differences; a banded solve, linear in time. Under 3 samples
+    only the mean goes."""
+    x = np.atleast_2d(np.asarray(x, float))
+    n = x.shape[1]
+    if n < 3:
+        return x - x.mean(axis=1, keepdims=True)
+    s = smoothness**2
+    count = lambda k: np.convolve(np.ones(n - 2), k)
+    d0 = 1 + s * count([1.0, 4.0, 1.0])
+    d1 = s * np.convolve(np.ones(n - 2), [-2.0, -2.0])
+    d2 = np.full(n - 2, s)
+    # L D L' of the pentadiagonal matrix
+    d, l1, l2 = np.zeros(n), np.zeros(n), np.zeros(n)
+    for i in range(n):
+        d[i] = d0[i] - (l1[i - 1] ** 2 * d[i - 1] if i > 0 else 0) - (l2[i - 2] ** 2 * d[i - 2] if i > 1 else 0)
+        if i < n - 1:
+            l1[i] = (d1[i] - (l1[i - 1] * l2[i - 1] * d[i - 1] if i > 0 else 0)) / d[i]
+        if i < n - 2:
+            l2[i] = d2[i] / d[i]
+    z = x.copy()
+    for i in range(1, n):
+        z[:, i] -= l1[i - 1] * z[:, i - 1] + (l2[i - 2] * z[:, i - 2] if i > 1 else 0)
+    z /= d
+    for i in range(n - 2, -1, -1):
+        z[:, i] -= l1[i] * z[:, i + 1] + (l2[i] * z[:, i + 2] if i < n - 2 else 0)
+    return x - z
+
+
+def zscore(x: np.ndarray) -> np.ndarray:
+    x = x - x.mean(axis=1, keepdims=True)
+    s = x.std(axis=1, keepdims=True)
+    return x / np.where(s > 0, s, 1)
+
+
+def clean_pulse(x: np.ndarray, fs: float, band: tuple[float, float] = PULSE_BAND) -> np.ndarray:
+    return zscore(bandpass(detrend(x), fs, band))
+
+
+def power_spectrum(x: np.ndarray, fs: float, least: int = 32768) -> tuple[np.ndarray, np.ndarray]:
+    """(frequencies, one-sided density) of zero-padded signals."""
+    x = np.atleast_2d(x)
+    n = max(least, 1 << max(0, (x.shape[1] - 1).bit_length()))
+    p = np.abs(np.fft.rfft(x, n)) ** 2 / (fs * x.shape[1])
+    p[:, 1:-1] *= 2
+    return np.fft.rfftfreq(n, 1 / fs), p
+
+
+def peak_rate(x: np.ndarray, fs: float, band: tuple[float, float] = PULSE_BAND) -> np.ndarray:
+    """Rate (a minute) of the strongest frequency in the band."""
+    f, p = power_spectrum(x, fs)
+    inside = (f >= band[0]) & (f <= band[1])
+    return 60 * f[inside][p[:, inside].argmax(axis=1)]
+
+
+def find_peaks(x: np.ndarray, distance: int = 1, prominence: float = 0.0) -> np.ndarray:
+    """Local maxima (the middle of a plateau), then the higher of any two closer than distance, then by prominence."""
+    n = len(x)
+    if n < 3:
+        return np.zeros(0, np.int64)
+    change = np.flatnonzero(np.diff(x) != 0)
+    first, last = np.concatenate([[0], change + 1]), np.concatenate([change, [n - 1]])
+    v = x[first]
+    top = np.flatnonzero((v[1:-1] > v[:-2]) & (v[1:-1] > v[2:])) + 1
+    peaks = (first[top] + last[top]) // 2
+    keep = np.ones(len(peaks), bool)
+    for i in np.argsort(x[peaks], kind="stable")[::-1]:
+        if keep[i]:
+            near = np.abs(peaks - peaks[i]) < distance
+            near[i] = False
+            keep &= ~near
+    peaks = peaks[keep]
+    out = []
+    for p in peaks:
+        higher = np.flatnonzero(x[:p] > x[p])
+        left = x[(higher[-1] if len(higher) else 0) : p + 1].min()
+        higher = np.flatnonzero(x[p + 1 :] > x[p])
+        right = x[p : p + 1 + (higher[0] + 1 if len(higher) else n)].min()
+        out.append(x[p] - max(left, right) >= prominence)
+    return peaks[np.array(out, bool)] if len(peaks) else peaks
+
+
+def parabolic(x: np.ndarray, peaks: np.ndarray) -> np.ndarray:
+    """Peak places by the parabola through three samples, half a sample away at most."""
+    inside = (peaks > 0) & (peaks < len(x) - 1)
+    p = peaks[inside]
+    a, b, c = x[p - 1], x[p], x[p + 1]
+    bend = a - 2 * b + c
+    out = peaks.astype(float)
+    out[inside] += np.clip(np.where(bend != 0, 0.5 * (a - c) / np.where(bend != 0, bend, 1), 0.0), -0.5, 0.5)
+    return out
+
+
+def detect_beats(x: np.ndarray, fs: float, band: tuple[float, float] = PULSE_BAND, refine: bool = True) -> np.ndarray:
+    """Times of beats: maxima at least half a dominant period apart and a quarter deviation prominent."""
+    if len(x) < 3 or not np.std(x) > 0:
+        return np.zeros(0)
+    period = 60 / float(peak_rate(x, fs, band)[0])
+    peaks = find_peaks(x, int(max(fs / band[1], 0.5 * period * fs, 1)), 0.25 * float(np.std(x)))
+    return (parabolic(x, peaks) if refine else peaks.astype(float)) / fs
+
+
+def beat_shape(x: np.ndarray, fs: float, beats: np.ndarray, points: int = 32) -> float:
+    """Mean cosine of each beat's segment with their mean, 0 to 1; 0 under 3 beats."""
+    if len(beats) < 3:
+        return 0.0
+    ibi = float(np.median(np.diff(beats)))
+    grid = beats[:, None] + np.linspace(-0.35, 0.65, points) * ibi
+    grid = grid[(grid[:, 0] >= 0) & (grid[:, -1] <= (len(x) - 1) / fs)]
+    if len(grid) < 3:
+        return 0.0
+    s = np.interp(grid, np.arange(len(x)) / fs, x)
+    s = s - s.mean(axis=1, keepdims=True)
+    s /= np.maximum(np.linalg.norm(s, axis=1, keepdims=True), 1e-12)
+    mean = s.mean(axis=0)
+    return float(np.clip((s @ mean / max(float(np.linalg.norm(mean)), 1e-12)).mean(), 0, 1))
+
+
+def pos(rgb: np.ndarray, fs: float, seconds: float = 1.6) -> np.ndarray:
+    """Pulse from colour (time, 3): every window is normalised by its mean, projected on two axes that skin tone leaves,
+    tuned by their deviations, and overlap-added."""
+    n, w = len(rgb), int(np.ceil(seconds * fs))
+    out = np.zeros(n)
+    if n < w:
+        return out
+    windows = np.lib.stride_tricks.sliding_window_view(rgb, w, axis=0)  # (windows, 3, w)
+    mean = windows.mean(axis=2, keepdims=True)
+    ok = (mean > 0).all(axis=1)[:, 0]
+    c = windows / np.where(mean > 0, mean, 1)
+    a, b = c[:, 1] - c[:, 2], c[:, 1] + c[:, 2] - 2 * c[:, 0]
+    sb = b.std(axis=1)
+    h = a + (a.std(axis=1) / np.where(sb > 0, sb, 1))[:, None] * b
+    h = (h - h.mean(axis=1, keepdims=True)) * ok[:, None]
+    np.add.at(out, np.arange(len(h))[:, None] + np.arange(w), h)
+    return out
+
+
+def chrom(rgb: np.ndarray, fs: float, seconds: float = 1.6, band: tuple[float, float] = PULSE_BAND) -> np.ndarray:
+    """Pulse from colour by chrominance, half-overlapping Hann windows; what no full window reaches stays 0."""
+    n = len(rgb)
+    w = max(8, 2 * int(np.ceil(seconds * fs / 2)))
+    out = np.zeros(n)
+    for s in range(0, n - w + 1, w // 2):
+        m = rgb[s : s + w].mean(axis=0)
+        c = rgb[s : s + w] / np.where(m > 0, m, 1)
+        x, y = bandpass(np.stack([3 * c[:, 0] - 2 * c[:, 1], 1.5 * c[:, 0] + c[:, 1] - 1.5 * c[:, 2]]), fs, band)
+        d = y.std()
+        out[s : s + w] += (x - (x.std() / d if d > 0 else 0) * y) * np.hanning(w)
+    return out
+
+
+def resample(x: np.ndarray, up: int, down: int) -> np.ndarray:
+    """Rational resampling by a windowed-sinc filter (Kaiser 5, 10 periods on each side)."""
+    x = np.atleast_2d(x)
+    half = 10 * max(up, down)
+    t = np.arange(-half, half + 1)
+    taps = np.sinc(t / max(up, down)) * np.kaiser(2 * half + 1, 5.0)
+    taps *= up / taps.sum()
+    wide = np.zeros((len(x), x.shape[1] * up))
+    wide[:, ::up] = x
+    return np.stack([np.convolve(r, taps, mode="full")[half : half + wide.shape[1]][::down] for r in wide])
