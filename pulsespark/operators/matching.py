@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsespark.operators.metrics import correlation
+
 
 def nearest(left: DataFrame, right: DataFrame, t: str = "t", key: str = "rec") -> DataFrame:
     """left with `match`, the time of the nearest row of right in the same record (a tie takes the earlier one).
@@ -48,7 +50,7 @@ def fill_gaps(rows: DataFrame, value: str, t: str, out: str, tie: str, key: str
 def best_lag(pairs: DataFrame, lags: int, key: str = "rec") -> DataFrame:
     """pairs(rec, i, x, y): the shift of y, -lags to lags, of the largest absolute correlation with x; the first wins."""
     shifted = pairs.select(key, "x", "i").join(pairs.select(key, F.col("y"), F.col("i").alias("j")).withColumn("lag", F.explode(F.sequence(F.lit(-lags), F.lit(lags)))).withColumn("i", F.col("j") - F.col("lag")), [key, "i"])
-    c = shifted.groupBy(key, "lag").agg(F.corr("x", "y").alias("c"))
+    c = shifted.groupBy(key, "lag").agg(correlation("x", "y").alias("c"))
     return c.groupBy(key).agg(F.max_by("lag", F.struct(F.round(F.abs("c"), 9), -F.col("lag"))).alias("lag"))
 
 

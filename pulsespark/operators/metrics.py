@@ -6,11 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson correlation over rows with both values; null where either is constant (built-in corr fails there)."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
+    return F.try_divide(F.covar_pop(a, b), F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0)))
+
+
 def summarize(rows: DataFrame, pred: str, truth: str, *keys: str) -> DataFrame:
     """Per group over rows with both values: n, mae, its standard error, rmse, mape, pearson (null under 3 rows)."""
     e = F.col(pred) - F.col(truth)
     g = rows.where(F.col(pred).isNotNull() & F.col(truth).isNotNull()).groupBy(*keys)
-    out = g.agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), (F.stddev_samp(F.abs(e)) / F.sqrt(F.count(F.lit(1)))).alias("mae_se"), F.sqrt(F.avg(e * e)).alias("rmse"), (F.avg(F.abs(F.try_divide(e, F.col(truth)))) * 100).alias("mape"), F.corr(pred, truth).alias("r"))
+    out = g.agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), (F.stddev_samp(F.abs(e)) / F.sqrt(F.count(F.lit(1)))).alias("mae_se"), F.sqrt(F.avg(e * e)).alias("rmse"), (F.avg(F.abs(F.try_divide(e, F.col(truth)))) * 100).alias("mape"), correlation(pred, truth).alias("r"))
     return out.withColumn("pearson", F.when(F.col("n") >= 3, F.col("r"))).drop("r")
 
 

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsespark.operators.metrics import correlation
 from pulsespark.settings import BRIGHT, DARK, FACING_MIN, LUMA
 
 
@@ -35,8 +36,8 @@ def consistency(samples: DataFrame, value: str = "v", weight: Column | None = No
     w = F.lit(1.0) if weight is None else weight
     at = Window.partitionBy("rec", "i")
     s = samples.withColumn("_wv", w * F.col(value)).withColumn("_rest", F.sum("_wv").over(at) - F.col("_wv")).withColumn("_n", F.count(F.lit(1)).over(at))
-    g = s.groupBy("rec", "patch").agg(F.corr(value, "_rest").alias("c"), F.max("_n").alias("n"))
-    c = F.coalesce(F.when(F.isnan("c"), F.lit(None)).otherwise(F.col("c")), F.lit(0.0))
+    g = s.groupBy("rec", "patch").agg(correlation(value, "_rest").alias("c"), F.max("_n").alias("n"))
+    c = F.coalesce("c", F.lit(0.0))
     return g.select("rec", "patch", F.when(F.col("n") < 2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))).alias("consistency"))
 
 
