@@ -25,9 +25,10 @@ from pulsespark.llm._common import BASE, BASE_INV, BYTE, U64, documents, mix, pa
 LENGTH = 100
 ANCHOR = 50
 BLOCK = 8
-#: Text hashed together in a task, text whose pieces meet in one bucket, and piece bytes of a collection.
+#: Text hashed together in a task, text whose pieces meet in one bucket, buckets at least (a document's answers come
+#: from as many buckets as its repeated pieces lie in), and piece bytes of a collection.
 SLICE_BYTES = 2 << 20
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES, BUCKETS = 24 << 20, 32
 GROUP_BYTES = 6 << 20
 #: Anchors in a larger share of the sampled documents, and in so many of them at least, are chosen last. The sample
 #: only sets this order, which any list leaves right; it has about SAMPLE_BYTES, and the list 60 / HOT_SHARE entries at most.
@@ -345,7 +346,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     base = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     _, size = text_stats(base, "t")
     hot = spark.sparkContext.broadcast(hot_anchors(base, size))
-    buckets = partitions_for(size, BUCKET_BYTES)
+    buckets = partitions_for(size, BUCKET_BYTES, BUCKETS)
     answers = stored(_answers(_asks(base, hot, buckets)), "answers")
     wanted = answers.agg(F.coalesce(F.sum(F.octet_length("send")), F.lit(0)).alias("n")).first()["n"]
     groups = partitions_for(wanted // 6 * 125, GROUP_BYTES)
