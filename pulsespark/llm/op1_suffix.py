@@ -287,7 +287,7 @@ def _answers(asks: DataFrame) -> DataFrame:
             order = np.argsort(d, kind="stable")
             d, x = d[order], x[order]
             heads = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else np.zeros(0, int)
-            for a, b in zip(heads, np.append(heads[1:], len(d)), strict=True):
+            for a, b in zip(heads, np.append(heads, len(d))[1:], strict=True):
                 rows.setdefault(int(d[a]), [b"", b""])[j] = _pack(x[a:b], 6)
         return pa.table({"d": pa.array(list(rows), pa.int64()), "later": pa.array([v[0] for v in rows.values()], pa.binary()), "send": pa.array([v[1] for v in rows.values()], pa.binary())})
 
