@@ -224,7 +224,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
         links = links.union(more)
     found = components(links)
     out = base.select("doc_id", "n_shingles", "set_a", "set_b").join(alike, ["n_shingles", "set_a", "set_b"], "left")
-    named = out.join(found, out["rep"] == found["node"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = out.join(found, out["rep"] == found["node"], "left").select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return named.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
