@@ -43,8 +43,8 @@ def auc(rows: DataFrame, score: str, positive: Column, *keys: str) -> DataFrame:
 
     Ranks come from counts of equal scores and prefix sums over distinct scores, so repeated scores meet once only.
     """
-    c = rows.where(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("q"))
-    w = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    c = rows.where(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("_score")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("q"))
+    w = Window.partitionBy(*keys).orderBy("_score").rowsBetween(Window.unboundedPreceding, -1)
     c = c.withColumn("below", F.coalesce(F.sum("q").over(w), F.lit(0)))
     g = c.groupBy(*keys).agg(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2.0)).alias("u"), F.sum("p").alias("p"), F.sum("q").alias("q"))
     return g.select(*keys, F.try_divide("u", F.col("p") * F.col("q").cast("double")).alias("auc"), "p", "q")

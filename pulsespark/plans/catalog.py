@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsespark.operators import intervals as iv
-from pulsespark.operators import matching, metrics, signals, spectra, trust
+from pulsespark.operators import matching, metrics, models, signals, spectra, trust
 from pulsespark.settings import HR_LIMITS, IRREGULAR
 from pulsespark.sources.tables import UNIT, beats, table
 from pulsespark.sources.tables import signals as packed
@@ -397,6 +397,39 @@ def colour_pulse_pos(spark, sf_dir):
     return p.select("rec", F.size("values").alias("n"), F.aggregate("values", F.lit(0.0), lambda a, x: a + x * x).alias("energy"))
 
 
+def _window_features(spark, sf_dir):
+    """A row for each record and week: rhythm features, class (of the record) and subject (records modulo 10)."""
+    c = clean(spark, sf_dir).withColumn("rec", F.col("rec") * 8 + F.floor(F.col("us") / (7 * 86400000000)))
+    f = iv.variability(c, "us").where("n >= 8").join(iv.poincare(c, "us").drop("n"), "rec").dropna()
+    user = F.floor(F.col("rec") / 8)
+    return f.select("rec", (user % 10).alias("subject"), (F.floor(user / 10) % 2).cast("double").alias("af"), "n", "mean", "nrmssd", "sd1_sd2", "tpr", (F.col("n") / 20.0).alias("quality"))
+
+
+@query("loso_logreg")
+def loso_logreg(spark, sf_dir):
+    """Leave-one-subject-out probabilities; tests hold the method on separable data."""
+    rows = _window_features(spark, sf_dir)
+    return rounded(models.leave_one_out(rows, ["mean", "nrmssd", "sd1_sd2", "tpr"], "af", "subject").select("rec", "subject", "af", "p"), 4)
+
+
+@query("gating_sweep", f"""WITH s AS (SELECT l_quantity / 50 AS gate, l_linestatus = 'O' AS y, l_discount * 10 AS p FROM lineitem), t AS (SELECT x / 4.0::DOUBLE AS threshold FROM range(0, 4) r(x)),
+  k AS (SELECT threshold, y, p, rank() OVER (PARTITION BY threshold ORDER BY p) + (count(*) OVER (PARTITION BY threshold, p) - 1) / 2.0 AS r FROM s JOIN t ON gate >= threshold),
+  n AS (SELECT count(*) FILTER (WHERE y) AS tp, count(*) FILTER (WHERE NOT y) AS tq FROM s)
+  SELECT threshold, round((sum(r) FILTER (WHERE y) - count(*) FILTER (WHERE y) * (count(*) FILTER (WHERE y) + 1) / 2.0) / (count(*) FILTER (WHERE y) * (count(*) FILTER (WHERE NOT y))::DOUBLE), 6) AS auc,
+    round(avg(CASE WHEN p >= 0.5 THEN 1.0 ELSE 0.0 END) FILTER (WHERE y), 6) AS sensitivity, round(1 - avg(CASE WHEN p >= 0.5 THEN 1.0 ELSE 0.0 END) FILTER (WHERE NOT y), 6) AS specificity,
+    round(count(*) FILTER (WHERE y) / any_value(tp)::DOUBLE, 6) AS coverage_1, round(count(*) FILTER (WHERE NOT y) / any_value(tq)::DOUBLE, 6) AS coverage_0 FROM k, n GROUP BY threshold""")
+def gating_sweep(spark, sf_dir):
+    s = table(spark, sf_dir, "lineitem").select((F.col("l_quantity") / 50).alias("gate"), (F.col("l_linestatus") == "O").cast("int").alias("y"), (F.col("l_discount") * 10).alias("p"))
+    return rounded(models.gating_sweep(s, "gate", [0.0, 0.25, 0.5, 0.75], "y"))
+
+
+@query("screening_decision", f"""WITH w AS (SELECT l_suppkey AS rec, l_discount * 10 AS p, l_quantity >= 25 AS reliable FROM lineitem), g AS (SELECT rec, avg(p) FILTER (WHERE reliable) AS mean_p, avg(CASE WHEN reliable THEN 1.0 ELSE 0.0 END) AS coverage FROM w GROUP BY rec)
+  SELECT rec, round(mean_p, 5) AS mean_p, round(coverage, 5) AS coverage, CASE WHEN mean_p IS NULL THEN 'unreliable' WHEN mean_p + 1e-9 >= 0.5 THEN 'possible AF' ELSE 'regular rhythm' END AS decision FROM g""")
+def screening_decision(spark, sf_dir):
+    w = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("rec"), (F.col("l_discount") * 10 + 1e-9).alias("p"), (F.col("l_quantity") >= 25).alias("reliable"))
+    return rounded(models.decide(w, "rec"), 5)
+
+
 @query("stream_monitor_replay", f"""WITH {BEATS} SELECT rec, us // 86400000000 AS day, count(*) AS beats, round(sum(v), 4) AS total FROM beats GROUP BY 1, 2""")
 def stream_monitor_replay(spark, sf_dir):
     return monitor.replay(spark, f"{sf_dir}/events.parquet")

@@ -103,3 +103,16 @@ def test_state_keeps_a_span(spark, tmp_path):
     q.awaitTermination()
     last = max(got, key=lambda r: r["t"])
     assert math.isclose(last["rate"], 75) and last["n"] == 38 and last["irregular"] is False
+
+
+def test_left_out_subjects_are_scored_by_others(spark):
+    from pulsespark.operators import models
+
+    rng = random.Random(0)
+    rows = [(s, float(c), c + rng.gauss(0, 0.3), rng.random()) for s in range(4) for c in (0, 1) for _ in range(30)] + [(9, 1.0, None, 0.1)]
+    df = spark.createDataFrame(rows, "subject int, af double, x double, q double")
+    scored = models.leave_one_out(df.dropna(), ["x"], "af", "subject")
+    assert scored.count() == 240
+    sweep = {r["threshold"]: r for r in models.gating_sweep(scored, "q", [0.0, 0.5], "af").collect()}
+    assert sweep[0.0]["auc"] > 0.95 and sweep[0.0]["coverage_1"] == 1 and 0.3 < sweep[0.5]["coverage_0"] < 0.7
+    assert models.fit(df.where("af = 1"), ["x"], "af") is None
