@@ -19,8 +19,8 @@ BITS = 52
 SET_BYTES = 5
 #: Pairs whose signatures agree less than the similarity by so many standard errors are not confirmed.
 ERRORS = 3.0
-#: Rows of a bucket that one task compares with as many others, and partners tried at first for each document.
-BLOCK, FIRST = 2048, 4
+#: Rows of a bucket, and bytes of their sets, that one task compares with as many others.
+BLOCK, BLOCK_BYTES = 2048, 8 << 20
 #: Document ids that a semi join broadcasts at most; beyond it the join shuffles.
 BROADCAST_IDS = 1 << 20
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -124,6 +124,14 @@ def _values(packed: bytes) -> np.ndarray:
     return wide.view(">u8").reshape(-1)
 
 
+def _similar(va: np.ndarray, vb: np.ndarray, percent: int) -> bool:
+    small, large = (va, vb) if len(va) < len(vb) else (vb, va)
+    if not len(small) or 100 * len(small) < percent * len(large):
+        return False
+    both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+    return 100 * both >= percent * (len(va) + len(vb) - both)
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union of their whole sets."""
     joined = pairs.join(sets.select(F.col("d").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("d").alias("a"), F.col("set").alias("set_a")), "a")
@@ -135,54 +143,61 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             for a, sa, sb in zip(batch.column("a").to_pylist(), batch.column("set_a"), batch.column("set_b"), strict=True):
                 if a != last:
                     last, va = a, _values(sa.as_py())
-                vb = _values(sb.as_py())
-                small, large = (va, vb) if len(va) < len(vb) else (vb, va)
-                if 100 * len(small) < percent * len(large) or not len(small):
-                    keep.append(False)
-                    continue
-                both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
-                keep.append(100 * both >= percent * (len(va) + len(vb) - both))
+                keep.append(_similar(va, _values(sb.as_py()), percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return joined.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def similar_within(rows: DataFrame, percent: int, first: int | None) -> DataFrame:
-    """Pairs (a, b) of different components in a bucket whose signatures may reach the similarity.
+def linked_within(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components of a bucket, confirmed on whole sets.
 
-    rows: key, band, n (rows of the key), d, size, sig, c (component so far). A pair is given only by the first band
-    whose slots all agree, so once over all buckets. A bucket is dealt out as pairs of blocks of about BLOCK rows, so no
-    task sees a whole large one. `first`: only that many likeliest partners of each document.
+    rows: key, band, n (rows of the key), total (shingles of the key), d, size, sig, set, c (component so far). A pair
+    is looked at only in the first band whose slots all agree, so once over all buckets. A bucket is dealt out as pairs
+    of blocks of about BLOCK rows or BLOCK_BYTES, so no task sees a whole large one. A task gives only links that join
+    components still apart in it, so fewer than it has rows, whatever the number of similar pairs.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") * SET_BYTES / BLOCK_BYTES)).cast("int")
     rows = rows.withColumn("nb", blocks).withColumn("i", F.pmod(F.xxhash64("d"), F.col("nb")).cast("int"))
     rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rows = rows.select("key", "band", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "d", "size", "c", "sig")
+    rows = rows.select("key", "band", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "d", "size", "c", "sig", "set")
 
     def run(table: pa.Table) -> pa.Table:
         d, size, c, i = (table.column(x).to_numpy() for x in ("d", "size", "c", "i"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u4").reshape(len(d), -1)
+        packed = table.column("set")
         share = percent / 100
         least = (share - ERRORS * np.sqrt(share * (1 - share) / sig.shape[1])) * sig.shape[1]
         band = table.column("band")[0].as_py()
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
         left, right = np.flatnonzero(i == lo), np.flatnonzero(i == hi)
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = root.get(up, up)
+                x = up
+            return x
+
         a, b = [], []
         for u in left:
             v = right[(c[right] != c[u]) & (size[right] * 100 >= percent * size[u]) & (size[u] * 100 >= percent * size[right])]
-            if lo == hi and first is None:
+            if lo == hi:
                 v = v[d[v] > d[u]]
             same = sig[v] == sig[u]
             agree = same.sum(axis=1)
             own = (agree >= least) & (same.reshape(len(v), sig.shape[1] // ROWS, ROWS).all(axis=2).argmax(axis=1) == band)
-            v, agree = v[own], agree[own]
-            if first is not None and len(v) > first:
-                v = v[np.lexsort((d[v], -agree))[:first]]
-            a.append(np.full(len(v), d[u]))
-            b.append(d[v])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        seen = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        return pa.table({"a": seen[0], "b": seen[1]})
+            v = v[own][np.argsort(-agree[own], kind="stable")]
+            if not len(v):
+                continue
+            own_set = _values(packed[int(u)].as_py())
+            for w in v.tolist():
+                x, y = find(int(c[u])), find(int(c[w]))
+                if x != y and _similar(own_set, _values(packed[w].as_py()), percent):
+                    root[max(x, y)] = min(x, y)
+                    a.append(min(d[u], d[w]))
+                    b.append(max(d[u], d[w]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return rows.groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long")
 
@@ -197,15 +212,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
 
     Equal sets become one representative first, by a combinable minimum. Representatives that share a band's key are
     candidates. Each bucket is first held against its best-connected member, which costs one pair a row. What then lies
-    in different components of one bucket is compared by signature, block by block, and confirmed on whole sets: the
-    likeliest partners first, then all the others, so no link within a bucket is left out.
+    in different components of one bucket is compared by signature, block by block, and confirmed on whole sets, so no
+    link within a bucket is left out that would join two components.
     """
     base = stored(signatures(docs, doc_id, text), "signatures")
     alike = base.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep"))
     reps = alike.select(F.col("rep").alias("doc_id"), "n_shingles", "set_a", "set_b")
-    bands = base.join(reps, ["doc_id", "n_shingles", "set_a", "set_b"], "left_semi").select(F.col("doc_id").alias("d"), F.posexplode("keys").alias("band", "key"))
+    bands = base.join(reps, ["doc_id", "n_shingles", "set_a", "set_b"], "left_semi").select(F.col("doc_id").alias("d"), F.col("n_shingles").alias("size"), F.posexplode("keys").alias("band", "key"))
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = stored(bands.join(shared, "key").select("key", "band", "n", "d"), "buckets")
+    buckets = stored(bands.join(shared, "key").select("key", "band", "n", "d", "size"), "buckets")
     ids = buckets.select("d").distinct()
     small = ids.count() <= BROADCAST_IDS
     some = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).join(F.broadcast(ids) if small else ids, "d", "left_semi")
@@ -215,13 +230,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
     pivots = buckets.join(F.broadcast(degree) if small else degree, "d").groupBy("key").agg(F.max(F.struct("degree", -F.col("d"))).alias("m")).select("key", (-F.col("m.col2")).alias("p"))
     pairs = buckets.join(pivots, "key").where("d <> p").select(F.col("p").alias("a"), F.col("d").alias("b")).distinct()
     links = stored(confirm(pairs, sets, percent), "links")
-    for first in (FIRST, None):
-        found = stored(components(links), "components")
-        rows = buckets.join(F.broadcast(found) if small else found, F.col("d") == F.col("node"), "left").select("key", "band", "n", "d", F.coalesce("component", "d").alias("c"))
-        open_keys = rows.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key")
-        rows = rows.join(open_keys, "key", "left_semi").join(base.select(F.col("doc_id").alias("d"), F.col("n_shingles").alias("size"), "sig"), "d")
-        more = stored(confirm(similar_within(rows, percent, first), sets, percent), "links")
-        links = links.union(more)
+    found = stored(components(links), "components")
+    rows = buckets.join(F.broadcast(found) if small else found, F.col("d") == F.col("node"), "left").select("key", "band", "n", "d", "size", F.coalesce("component", "d").alias("c"))
+    open_keys = rows.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.sum("size").alias("total")).where("x < y").select("key", "total")
+    rows = rows.join(open_keys, "key").join(base.select(F.col("doc_id").alias("d"), "n_shingles", "sig"), "d").where("size = n_shingles").drop("n_shingles").join(sets, "d").where(F.octet_length("set") == SET_BYTES * F.col("size"))
+    links = links.union(stored(linked_within(rows, percent), "links"))
     found = components(links)
     out = base.select("doc_id", "n_shingles", "set_a", "set_b").join(alike, ["n_shingles", "set_a", "set_b"], "left")
     named = out.join(found, out["rep"] == found["node"], "left").select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
