@@ -17,8 +17,6 @@ SLOTS = BANDS * ROWS
 BITS = 52
 #: Bytes of a shingle in the sets that links are confirmed on: two shingles of a pair coincide by chance once in 10^12.
 SET_BYTES = 5
-#: Pairs whose signatures agree less than the similarity by so many standard errors are not confirmed.
-ERRORS = 3.0
 #: Rows of a bucket, and bytes of their sets, that one task compares with as many others.
 BLOCK, BLOCK_BYTES = 2048, 8 << 20
 #: Document ids that a semi join broadcasts at most; beyond it the join shuffles.
@@ -166,8 +164,6 @@ def linked_within(rows: DataFrame, percent: int) -> DataFrame:
         d, size, c, i = (table.column(x).to_numpy() for x in ("d", "size", "c", "i"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u4").reshape(len(d), -1)
         packed = table.column("set")
-        share = percent / 100
-        least = (share - ERRORS * np.sqrt(share * (1 - share) / sig.shape[1])) * sig.shape[1]
         band = table.column("band")[0].as_py()
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
         left, right = np.flatnonzero(i == lo), np.flatnonzero(i == hi)
@@ -186,7 +182,7 @@ def linked_within(rows: DataFrame, percent: int) -> DataFrame:
                 v = v[d[v] > d[u]]
             same = sig[v] == sig[u]
             agree = same.sum(axis=1)
-            own = (agree >= least) & (same.reshape(len(v), sig.shape[1] // ROWS, ROWS).all(axis=2).argmax(axis=1) == band)
+            own = same.reshape(len(v), sig.shape[1] // ROWS, ROWS).all(axis=2).argmax(axis=1) == band
             v = v[own][np.argsort(-agree[own], kind="stable")]
             if not len(v):
                 continue
@@ -212,7 +208,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
 
     Equal sets become one representative first, by a combinable minimum. Representatives that share a band's key are
     candidates. Each bucket is first held against its best-connected member, which costs one pair a row. What then lies
-    in different components of one bucket is compared by signature, block by block, and confirmed on whole sets, so no
+    in different components of one bucket is confirmed on whole sets, block by block, likeliest signatures first, so no
     link within a bucket is left out that would join two components.
     """
     base = stored(signatures(docs, doc_id, text), "signatures")

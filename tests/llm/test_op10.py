@@ -91,3 +91,13 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(31)) and all(got[i] == 100 for i in [*range(100, 140), 300])
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_signatures_do_not_settle_links(spark):
+    """Equal sets whose signatures agree in one band only are still confirmed on the sets."""
+    packed = np.arange(60, dtype=">u8").view(np.uint8).reshape(-1, 8)[:, 8 - o.SET_BYTES :].tobytes()
+    sig = np.arange(2 * o.SLOTS, dtype="<u4").reshape(2, -1)
+    sig[1, : o.ROWS] = sig[0, : o.ROWS]
+    rows = [(9, 0, 2, 120, d, 60, d, sig[d - 1].tobytes(), packed) for d in (1, 2)]
+    df = spark.createDataFrame(rows, "key long, band int, n long, total long, d long, size long, c long, sig binary, set binary")
+    assert [tuple(r) for r in o.linked_within(df, 85).collect()] == [(1, 2)]
