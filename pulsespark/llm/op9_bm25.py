@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsespark.llm._common import ALNUM, documents, ragged, shingle_hashes, slices, span_hashes, utf8, words
+from pulsespark.llm._common import ALNUM, documents, ragged, shingle_hashes, slices, span_hashes, stored, utf8, words
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage must reach, and overlaps that confirm it.
@@ -33,7 +33,7 @@ class Index:
     threshold has at least one, as all others together give no item THRESHOLD.
     """
 
-    ids: np.ndarray
+    ids: list[int | None]
     terms: np.ndarray
     starts: np.ndarray
     item: np.ndarray
@@ -79,16 +79,30 @@ def split_item(text: str) -> tuple[str, str]:
     return " ".join(w[:cut]), " ".join(w[cut:])
 
 
-def build_index(items: list[tuple[int, str]], threshold: float = THRESHOLD) -> Index:
-    """The index of (id, text) items; those without a word are left out."""
-    items = [(i, h, t) for i, t in sorted(items, key=lambda x: (x[0], x[1] or "")) if t and len(h := _hashes(t))]
+@dataclass
+class Statistics:
+    """Of all items with a word: their number, mean and greatest length, and in how many each term (sorted) occurs."""
+
+    n: int
+    mean: float
+    longest: int
+    terms: np.ndarray
+    df: np.ndarray
+
+
+def build_index(items: list[tuple[int | None, str]], threshold: float = THRESHOLD, of_all: Statistics | None = None) -> Index:
+    """The index of (id, text) items; those without a word are left out. of_all: statistics, if these are but a part."""
+    items = [(i, h, t) for i, t in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")) if t and len(h := _hashes(t))]
     sizes = np.array([len(h) for _, h, _ in items], float)
     owner = np.repeat(np.arange(len(items)), sizes.astype(int))
     pairs, tf = np.unique(np.array([np.concatenate([h for _, h, _ in items]) if items else [], owner], np.uint64), axis=1, return_counts=True)
     term, item = pairs[0], pairs[1].astype(np.int64)
     terms, inverse, df = np.unique(term, return_inverse=True, return_counts=True)
-    idf = np.log1p((len(items) - df + 0.5) / (df + 0.5))
-    norm = K1 * (1 - B + B * sizes / max(sizes.mean(), 1)) if len(items) else sizes
+    n, mean, longest, df_all = len(items), sizes.mean() if len(items) else 0.0, int(sizes.max(initial=0)), df
+    if of_all is not None:
+        n, mean, longest, df_all = of_all.n, of_all.mean, of_all.longest, of_all.df[np.searchsorted(of_all.terms, terms)]
+    idf = np.log1p((n - df_all + 0.5) / (df_all + 0.5))
+    norm = K1 * (1 - B + B * sizes / max(mean, 1)) if len(items) else sizes
     impact = idf[inverse] * tf * (K1 + 1) / (tf + norm[item])
     impact /= np.bincount(item, impact, minlength=len(items))[item]
     starts = np.concatenate([[0], np.cumsum(df)])
@@ -106,7 +120,7 @@ def build_index(items: list[tuple[int, str]], threshold: float = THRESHOLD) -> I
         else:
             got[item[own]] += impact[own]
     split = [split_item(t) for _, _, t in items]
-    return Index(np.array([i for i, _, _ in items], np.int64), terms, starts, item, impact, block_starts, block_of[heads], block_max, essential, max(WINDOW, int(sizes.max(initial=0))), [_grams(_hashes(q)) for q, _ in split], [np.unique(_hashes(a)) for _, a in split])
+    return Index([i for i, _, _ in items], terms, starts, item, impact, block_starts, block_of[heads], block_max, essential, max(WINDOW, longest), [_grams(_hashes(q)) for q, _ in split], [np.unique(_hashes(a)) for _, a in split])
 
 
 def _sums(row: np.ndarray, value: np.ndarray, columns: int) -> tuple[np.ndarray, np.ndarray]:
@@ -174,6 +188,20 @@ def search(index: Index, data: np.ndarray, offsets: np.ndarray, threshold: float
     return [(x, i, *v) for (x, i), v in sorted(out.items())]
 
 
+def _statistics(items: DataFrame) -> tuple[tuple[int, float, int], DataFrame]:
+    """((number, mean, greatest length), (h, df, parts): each term, its items, and the parts it occurs in) of (i, t, p)."""
+
+    def run(batches):
+        for batch in batches:
+            words_of = [_hashes(t) for t in batch.column("t").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("p"), pa.array([len(h) for h in words_of], pa.int64()), pa.array([np.unique(h).view(np.int64) for h in words_of], pa.list_(pa.int64()))], names=["p", "n", "h"])
+
+    each = stored(items.select("t", "p").mapInArrow(run, "p int, n long, h array<bigint>").where("n > 0"), "items")
+    row = each.agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("words"), F.max("n").alias("longest")).first()
+    terms = each.select("p", F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.collect_set("p").alias("parts"))
+    return (row["n"], row["words"] / row["n"] if row["n"] else 0.0, row["longest"] or 0), stored(terms, "terms")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): documents that hold a test item, one row per pair.
 
@@ -181,16 +209,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     shingles (its words, if fewer) and of the answer's words. Texts are split at anything but letters and digits, in lower case. Null and
     empty texts and items hold nothing. Rows that repeat a doc_id each count. The items' size is measured first: an
     index holds INDEX_BYTES of them, and is broadcast; larger benchmarks take several indexes, each searched by all
-    passages, and statistics of each are its own.
+    passages. Numbers and lengths of items and the items of each term are those of all items in every index, so scores do
+    not depend on their number. Items with a null id are searched too (item_id null).
     """
     spark = docs.sparkSession
     items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first()["n"]
     parts = max(1, -(-int(size) // INDEX_BYTES))
+    items = items.withColumn("p", F.pmod(F.xxhash64("i", "t"), F.lit(parts)).cast("int"))
+    if parts > 1:
+        whole, terms = _statistics(items)
     out = None
     for p in range(parts):
-        rows = items if parts == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == p)
-        shared = spark.sparkContext.broadcast(build_index([(r["i"], r["t"]) for r in rows.collect() if r["i"] is not None]))
+        of_all = None
+        if parts > 1:
+            own = terms.where(F.array_contains("parts", p)).select("h", "df").toArrow()
+            h, df = own.column("h").to_numpy().view(np.uint64), own.column("df").to_numpy()
+            of_all = Statistics(*whole, h[np.argsort(h)], df[np.argsort(h)])
+        shared = spark.sparkContext.broadcast(build_index([(r["i"], r["t"]) for r in items.where(F.col("p") == p).collect()], of_all=of_all))
 
         def run(batches, shared=shared):
             index = shared.value
@@ -199,7 +235,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
                     got = search(index, *utf8(pc.utf8_lower(part.column("t"))))
                     if got:
                         x, i, s, q, a = zip(*got, strict=True)
-                        yield pa.RecordBatch.from_arrays([part.column("d").take(pa.array(x, pa.int64())), pa.array(index.ids[list(i)]), pa.array(s), pa.array(q), pa.array(a)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+                        yield pa.RecordBatch.from_arrays([part.column("d").take(pa.array(x, pa.int64())), pa.array([index.ids[k] for k in i], pa.int64()), pa.array(s), pa.array(q), pa.array(a)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
         found = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).mapInArrow(run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
         out = found if out is None else out.union(found)

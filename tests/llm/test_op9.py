@@ -76,3 +76,13 @@ def test_edge_cases(spark, frame, parts, monkeypatch):
     assert sorted((r["doc_id"] or 0) for r in kept) == [0, 1, 2]
     assert o.contaminated(frame([]), table(spark, its)).count() == 0
     assert o.contaminated(frame(rows), table(spark, [])).count() == 0
+
+
+def test_parts_have_the_statistics_of_all_items(spark, frame, monkeypatch):
+    its = [*items()[:20], (60, " ".join(words(90, 7))), (None, " ".join(words(30, 8)))]
+    rows = [(d, " ".join(words(50, d) + t.split()[:-4] + t.split()[-3:] + words(50, 99 + d))) for d, (_, t) in enumerate(its)]
+    one = sorted(map(str, o.contaminated(frame(rows), table(spark, its)).collect()))
+    monkeypatch.setattr(o, "INDEX_BYTES", 1500)
+    assert sorted(map(str, o.contaminated(frame(rows), table(spark, its)).collect())) == one
+    assert any("item_id=None" in r for r in one) and len(one) > 15
+    assert o.decontaminate(frame(rows[-1:]), table(spark, its)).count() == 0
