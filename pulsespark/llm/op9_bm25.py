@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 from pulsespark.llm._common import ALNUM, documents, ragged, shingle_hashes, slices, span_hashes, stored, utf8, words
 
 K1, B = 1.2, 0.75
-#: Share of an item's own score that a passage must reach, and overlaps that confirm it.
+#: Share of an item's own score that a passage must reach, and overlaps of question and answer that confirm it. A changed
+#: word breaks SHINGLE shingles at most, so a question of 12 words or more bears one and one of 20 words two.
 THRESHOLD = 0.6
-OVERLAP = 0.8
-SHINGLE = 5
+OVERLAP, ANSWER = 0.6, 0.6
+SHINGLE = 3
+#: Words of a question below which its words are compared instead of its shingles.
+SHORT = 12
 #: Items of a block with its own maximum; bytes of item texts that one index holds (and is broadcast with) at most.
 BLOCK_ITEMS = 32
 INDEX_BYTES = 16 << 20
@@ -65,8 +68,9 @@ def _shingles(word: np.ndarray) -> np.ndarray:
 
 
 def _grams(word: np.ndarray) -> tuple[bool, np.ndarray]:
-    """Shingles of a question, or its words if it has fewer than a shingle takes."""
-    return len(word) >= SHINGLE, _shingles(word) if len(word) >= SHINGLE else np.unique(word)
+    """Shingles of a question, or its words if it has fewer than SHORT."""
+    long = len(word) >= SHORT
+    return long, _shingles(word) if long else np.unique(word)
 
 
 def split_item(text: str) -> tuple[str, str]:
@@ -183,7 +187,7 @@ def search(index: Index, data: np.ndarray, offsets: np.ndarray, threshold: float
         long, grams = index.question[i]
         q = float(np.isin(grams, _shingles(word) if long else word).mean()) if len(grams) else 1.0
         a = float(np.isin(index.answer[i], word).mean()) if len(index.answer[i]) else 1.0
-        if q >= OVERLAP and a >= OVERLAP:
+        if q >= OVERLAP and a >= ANSWER:
             out[x, i] = max(out.get((x, i), (0.0, 0.0, 0.0)), (value, q, a))
     return [(x, i, *v) for (x, i), v in sorted(out.items())]
 
@@ -205,8 +209,8 @@ def _statistics(items: DataFrame) -> tuple[tuple[int, float, int], DataFrame]:
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): documents that hold a test item, one row per pair.
 
-    A passage qualifies if it reaches THRESHOLD of the item's own BM25 score, and OVERLAP of the question's 5-word
-    shingles (its words, if fewer) and of the answer's words. Texts are split at anything but letters and digits, in lower case. Null and
+    A passage qualifies if it reaches THRESHOLD of the item's own BM25 score, OVERLAP of the question's 3-word shingles
+    (its words, if it has fewer than SHORT) and ANSWER of the answer's words, so that items with a changed word are found. Texts are split at anything but letters and digits, in lower case. Null and
     empty texts and items hold nothing. Rows that repeat a doc_id each count. The items' size is measured first: an
     index holds INDEX_BYTES of them, and is broadcast; larger benchmarks take several indexes, each searched by all
     passages. Numbers and lengths of items and the items of each term are those of all items in every index, so scores do
@@ -249,4 +253,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 
 def op9_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents that hold an item of the benchmark; see contaminated."""
     return contaminated(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))

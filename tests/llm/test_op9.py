@@ -25,8 +25,7 @@ def test_planted_items_and_clean_texts(spark, frame):
             if d % 12 == 0:
                 t[9] = "changed"
             own[100:100] = t
-            if d % 12:
-                want.add((d, k))
+            want.add((d, k))
         rows.append((d, " ".join(own)))
     got = o.contaminated(frame(rows), table(spark, its)).collect()
     pairs = {(r["doc_id"], r["item_id"]) for r in got}
@@ -86,3 +85,22 @@ def test_parts_have_the_statistics_of_all_items(spark, frame, monkeypatch):
     assert sorted(map(str, o.contaminated(frame(rows), table(spark, its)).collect())) == one
     assert any("item_id=None" in r for r in one) and len(one) > 15
     assert o.decontaminate(frame(rows[-1:]), table(spark, its)).count() == 0
+
+
+def test_recall_of_edited_items(spark, frame):
+    """Items with one and with two changed words, at random places of question and answer."""
+    import random
+
+    r = random.Random(5)
+    for changed in (1, 2):
+        its = [(i, " ".join(words(20, 3000 + i)) + ". " + " ".join(words(8, 4000 + i)) + ".") for i in range(200)]
+        rows = []
+        for i, t in its:
+            w = t.split()
+            for k in r.sample(range(len(w)), changed):
+                w[k] = f"edit{k}"
+            own = words(200, 7000 + i)
+            rows.append((i, " ".join(own[:80] + w + own[80:])))
+        got = {(x["doc_id"], x["item_id"]) for x in o.contaminated(frame(rows), table(spark, its)).collect()}
+        assert all(d == i for d, i in got)
+        assert len(got) >= 0.9 * len(its), (changed, len(got))
