@@ -148,6 +148,8 @@ def shared_dir(spark: SparkSession) -> str:
         context_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = context_dir.get() if context_dir.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         import tempfile
 
         found = tempfile.mkdtemp(prefix="pulsespark-")
@@ -189,6 +191,14 @@ def text_stats(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     return int(row["n"]), int(row["b"])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until no column of df is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def schema_with(df: DataFrame, **fields: str):
     """The schema of df and more columns (name=type); df's own schema object stays as it is."""
     from pyspark.sql import types as T
