@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulsespark.llm._common import documents, shared_dir, stored
+from pulsespark.llm._common import documents, free_name, shared_dir, stored
 
 #: The fractional part of the golden ratio: slot i of the schedule falls on the point frac(i * GOLDEN).
 GOLDEN = 0.6180339887498949
@@ -15,6 +15,9 @@ EPOCHS = 3
 BLOCK = 4096
 SLOTS = 1 << 17
 RANGE = 1 << 14
+#: Cells of the unit interval that slots meet sources in (a power of 2), and documents of a source placed together.
+CELLS = 1 << 10
+GROUP = 1 << 10
 
 
 def word_count(text: Column) -> Column:
@@ -46,12 +49,15 @@ def schedule(plan: DataFrame, total: int, block: int) -> DataFrame:
 
     Slot i goes to the source whose share holds frac(i * GOLDEN). Ranks within a source are counted per range of slots
     first, then prefix sums over ranges are added, so that no task sees all slots of a source. Slots past a source's need
-    stay idle; blocks that the schedule leaves short come after it.
+    stay idle; blocks that the schedule leaves short come after it. A slot meets only the sources of its cell of the unit
+    interval, by an equi-join (points spread evenly over the cells, so none is hot).
     """
     spark = plan.sparkSession
     n = max(1, -(-total // block))
     slots = spark.range(n).select((F.col("id") / RANGE).cast("long").alias("range"), "id", F.expr(f"id * {GOLDEN}D - floor(id * {GOLDEN}D)").alias("point"))
-    slots = slots.join(F.broadcast(plan), (F.col("point") >= F.col("low")) & (F.col("point") < F.col("high"))).select("range", "id", "source_no", "need")
+    ends = [F.least(F.floor(F.col(c) * CELLS), F.lit(CELLS - 1)) for c in ("low", "high")]
+    cells = plan.withColumn("cell", F.explode(F.sequence(*ends)))
+    slots = slots.withColumn("cell", F.floor(F.col("point") * CELLS)).join(cells, "cell").where("point >= low and point < high").select("range", "id", "source_no", "need")
     counts = slots.groupBy("source_no", "range").agg(F.count(F.lit(1)).alias("n"))
     prefix = counts.select("source_no", "range", (F.sum("n").over(Window.partitionBy("source_no").orderBy("range")) - F.col("n")).alias("before"))
     ranked = slots.withColumn("r", F.row_number().over(Window.partitionBy("source_no", "range").orderBy("id")) - 1).join(prefix, ["source_no", "range"])
@@ -87,8 +93,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: i
     blocks = schedule(plan.where("goal > 0").select("source_no", "low", "high", "need"), total, block)
 
     # places in the shuffled stream: sums per group of neighbours in the shuffle first, so a hot source is many groups
-    groups = max(1, most // 4096)
-    placed = base.join(F.broadcast(plan.select(F.col("source").alias("s"), "source_no", "source_size", "target", "goal")), F.col("source").eqNullSafe(F.col("s"))).drop("s", "source")
+    groups = max(1, most // GROUP)
+    placed = base.join(plan.select(F.col("source").alias("s"), "source_no", "source_size", "target", "goal"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "source")
     placed = placed.withColumn("g", F.pmod(F.shiftright("h", 20), F.lit(groups)))
     sums = placed.groupBy("source_no", "g").agg(F.sum("size").alias("n"))
     before = sums.select("source_no", "g", (F.sum("n").over(Window.partitionBy("source_no").orderBy("g")) - F.col("n")).alias("before"))
@@ -114,15 +120,19 @@ def taken(mixed: DataFrame) -> DataFrame:
 def apply_mix(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
     """The mixed documents: a row of docs for each epoch that takes it, all columns as they were.
 
-    Documents stay whole: one that a source's target cuts is in that epoch if the mix takes at least half of it.
+    Documents stay whole: one that a source's target cuts is in that epoch if the mix takes at least half of it. Texts
+    without words are in no epoch. Rows that repeat id and text are mixed each by itself, and each row then comes in every
+    epoch that takes one of them. Columns of docs may have any names; an empty table gives none.
     """
     name, text = options.get("doc_id", "doc_id"), options.get("text", "text")
     times = mix_sources(docs, seed=seed, **options).where("taken > 0 and 2 * taken >= size")
-    times = times.groupBy(F.col("doc_id").alias("_mix_id"), F.col("text_hash").alias("_mix_hash")).agg(F.countDistinct("epoch").alias("_mix_times"))
-    keyed = docs.withColumn("_mix_h", F.xxhash64(F.lit(seed), F.col(name), F.col(text)))
-    joined = keyed.join(times, (keyed[name].eqNullSafe(times["_mix_id"])) & (keyed["_mix_h"] == times["_mix_hash"]))
-    return joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times").cast("int")))).select(*docs.columns)
+    i, h, n, c, k = (free_name(docs, x) for x in ("_mix_id", "_mix_hash", "_mix_times", "_mix_copy", "_mix_key"))
+    times = times.groupBy(F.col("doc_id").alias(i), F.col("text_hash").alias(h)).agg(F.countDistinct("epoch").alias(n))
+    keyed = docs.withColumn(k, F.xxhash64(F.lit(seed), F.col(name), F.col(text)))
+    joined = keyed.join(times, (keyed[name].eqNullSafe(times[i])) & (keyed[k] == times[h]))
+    return joined.withColumn(c, F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))).select(*docs.columns)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken of every document; see mix_sources for nulls, ties and repeated rows."""
     return taken(mix_sources(documents(spark, sf_dir)))

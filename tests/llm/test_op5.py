@@ -71,3 +71,25 @@ def test_targets(spark, weights):
     rows = m.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"), weights).collect()
     want = water_fill(sizes, weights)
     assert all(abs(r["target"] - want[r["source"]]) < 1e-6 for r in rows)
+
+
+def test_schedule_is_the_golden_ratio(spark):
+    shares = [(1, 0.0, 0.62, 40), (2, 0.62, 0.6201, 3), (3, 0.6201, 2.0, 25)]
+    plan = spark.createDataFrame(shares, "source_no int, low double, high double, need long")
+    want, seen = set(), {}
+    for i in range(64):
+        point = i * m.GOLDEN - int(i * m.GOLDEN)
+        no, _, _, need = next(s for s in shares if s[1] <= point < s[2])
+        rank = seen.get(no, 0)
+        seen[no] = rank + 1
+        if rank < need:
+            want.add((no, rank))
+    want |= {(no, r) for no, _, _, need in shares for r in range(seen.get(no, 0), need)}
+    got = [tuple(r) for r in m.schedule(plan, 64, 1).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a b c", "x", 5, 6)], "doc_id long, text string, source string, _MIX_id int, _mix_copy int")
+    got = m.apply_mix(df).collect()
+    assert got and all(tuple(r) == (1, "a b c", "x", 5, 6) for r in got)
