@@ -22,6 +22,10 @@ from pulsespark.llm._common import documents, slices, stored
 CLEAR_CODES = 3837  # codes between two clear codes of our encoder: the table is then full
 WIDTH = 64
 ROWS = 16384  # rows of a frame at most
+#: Pixels of a canvas or an image at most; a header that asks for more is refused before anything is allocated.
+MAX_PIXELS = 1 << 25
+#: Bytes of canvases that frame_table gives out at once.
+OUT_BYTES = 16 << 20
 
 
 def _widths(minimum: int, n: int) -> np.ndarray:
@@ -130,6 +134,10 @@ def lzw_decode(data: bytes, minimum: int, size: int) -> np.ndarray:
         up = further
     length = 1 + step
     starts = np.cumsum(length) - length
+    count = int(np.searchsorted(starts, size))  # symbols copy earlier ones only, so what is past size is not expanded
+    c, p, literal, length, starts = (x[:count] for x in (c, p, literal, length, starts))
+    if not count:
+        return np.zeros(0, np.uint8)
     n = int(length.sum())
     owner = np.repeat(np.arange(count), length)
     position = np.arange(n)
@@ -182,7 +190,8 @@ def _sub_blocks(data: bytes, at: int) -> tuple[bytes, int]:
 
 
 def frames(data: bytes, canvas: bool = True):
-    """Frames of a GIF in order. canvas=False leaves the drawing out. ValueError if the data are no GIF."""
+    """Frames of a GIF in order. canvas=False leaves the drawing out. ValueError if the data are no GIF, or ask for more
+    than MAX_PIXELS. What draws beyond the canvas is cut; a stream that breaks off leaves index 0."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("not a GIF")
     width, height, flags = struct.unpack_from("<HHB", data, 6)
@@ -192,6 +201,8 @@ def frames(data: bytes, canvas: bool = True):
         n = 2 << (flags & 7)
         table = np.frombuffer(data, np.uint8, 3 * n, at).reshape(-1, 3)
         at += 3 * n
+    if width * height > MAX_PIXELS:
+        raise ValueError("canvas too large")
     screen = np.zeros((height, width, 4), np.uint8) if canvas else None
     delay, disposal, transparent = 0, 0, None
     while at < len(data) and data[at] != 0x3B:
@@ -203,6 +214,8 @@ def frames(data: bytes, canvas: bool = True):
             at = after
         elif data[at] == 0x2C and at + 10 < len(data):
             left, top, w, h, local = struct.unpack_from("<HHHHB", data, at + 1)
+            if w * h > MAX_PIXELS:
+                raise ValueError("image too large")
             at += 10
             palette = table
             if local & 0x80:
@@ -227,8 +240,11 @@ def frames(data: bytes, canvas: bool = True):
                 full[:, 3] = 255
                 rows, cols = slice(top, min(top + h, height)), slice(left, min(left + w, width))
                 part = samples[: max(0, height - top), : max(0, width - left)]
-                drawn = np.ones(part.shape, bool) if transparent is None else part != transparent
-                screen[rows, cols][drawn] = full[part][drawn]
+                if transparent is None:
+                    screen[rows, cols] = full[part]
+                else:
+                    drawn = part != transparent
+                    screen[rows, cols][drawn] = full[part[drawn]]
                 yield Frame(delay, disposal, left, top, samples, palette, screen.copy())
                 if disposal == 2:
                     screen[rows, cols] = 0
@@ -246,33 +262,53 @@ def histogram(values: np.ndarray, bins: int = 16) -> list[int]:
     return np.bincount(values.reshape(-1) >> (8 - bins.bit_length() + 1), minlength=bins).tolist()
 
 
+def colours(frame: Frame, bins: int = 16) -> list[list[int]]:
+    """Histograms of red, green and blue over what is not transparent on the canvas after a frame."""
+    flat = frame.canvas.reshape(-1, 4)
+    seen = flat if (flat[:, 3] > 0).all() else flat[flat[:, 3] > 0]
+    return [histogram(seen[:, c], bins) for c in range(3)]
+
+
 def frame_table(media: DataFrame, key: str, column: str = "media") -> DataFrame:
     """One row per frame: key, frame, at_ms (its time), delay_ms, width, height, rgba, and red, green, blue histograms
-    (16 bins over what is not transparent). Null or broken files have one row with frame -1 and nulls."""
+    (16 bins over what is not transparent). A null file, and one that breaks (no GIF, more than MAX_PIXELS), has a row
+    with frame -1 and nulls, after the frames before the break. Repeated rows and null keys each have their own frames.
+    Frames are given out every OUT_BYTES of canvases, so a file of many frames does not fill a task."""
 
     def run(batches):
+        names = [key, *"frame at_ms delay_ms width height rgba red green blue".split()]
+
+        def table(out, kind):
+            kinds = [kind, pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), *[pa.list_(pa.int64())] * 3]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
         for batch in batches:
             for part in slices(batch, column):
+                kind = part.schema.field(key).type
                 out: list[tuple] = []
+                held = 0
                 for k, data in zip(part.column(key).to_pylist(), part.column(column).to_pylist(), strict=True):
                     try:
                         at = 0
                         for i, f in enumerate(frames(data or b"")):
-                            seen = f.canvas[f.canvas[..., 3] > 0]
-                            out.append((k, i, at, f.delay_ms, f.canvas.shape[1], f.canvas.shape[0], f.canvas.tobytes(), *(histogram(seen[:, c]) for c in range(3))))
+                            out.append((k, i, at, f.delay_ms, f.canvas.shape[1], f.canvas.shape[0], f.canvas.tobytes(), *colours(f)))
                             at += f.delay_ms
+                            held += f.canvas.size
+                            if held > OUT_BYTES:
+                                yield table(out, kind)
+                                out, held = [], 0
                     except (ValueError, IndexError, struct.error):
                         out.append((k, -1, *[None] * 8))
                 if out:
-                    kinds = [part.schema.field(key).type, pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), *[pa.list_(pa.int64())] * 3]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[key, *"frame at_ms delay_ms width height rgba red green blue".split()])
+                    yield table(out, kind)
 
     kind = media.schema[key].dataType.simpleString()
     return media.select(key, column).mapInArrow(run, f"`{key}` {kind}, frame int, at_ms long, delay_ms int, width int, height int, rgba binary, red array<bigint>, green array<bigint>, blue array<bigint>")
 
 
 def to_gif(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, media): each text (null: empty) as UTF-8, filled with bytes 0 to a positive multiple of 64, as GIF."""
+    """(doc_id, n_bytes, media): each text (null: empty) as UTF-8, filled with bytes 0 to a positive multiple of 64, as GIF.
+    Repeated rows and null ids each have their own row, an empty table has none; other columns are ignored."""
 
     def run(batches):
         for batch in batches:
@@ -285,7 +321,8 @@ def to_gif(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 
 def payload_digest(media: DataFrame) -> DataFrame:
-    """Digests of what the stored GIFs hold, decoded from their bytes."""
+    """Digests of what the stored GIFs hold, decoded from their bytes: the samples are the payload, and the feature is the
+    number of frames and the red, green and blue histograms of the drawn canvases, summed over frames. One row a row."""
     names = "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature".split()
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
@@ -294,10 +331,13 @@ def payload_digest(media: DataFrame) -> DataFrame:
             for part in slices(batch, "media"):
                 out = []
                 for d, n, data in zip(*(part.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media")), strict=True):
-                    got = [f.samples for f in frames(data, canvas=False)]
-                    samples = np.concatenate([s.reshape(-1) for s in got])
-                    payload = samples.tobytes()
-                    out.append((d, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), f"{len(got)}:" + ",".join(map(str, histogram(samples)))))
+                    samples, colour = [], np.zeros((3, 16), np.int64)
+                    for f in frames(data):
+                        samples.append(f.samples.tobytes())
+                        colour += np.array(colours(f))
+                    payload = b"".join(samples)
+                    feature = f"{len(samples)}:" + ";".join(",".join(map(str, c)) for c in colour.tolist())
+                    out.append((d, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 

@@ -106,3 +106,24 @@ def test_texts(spark, frame, text):
 
 def test_empty(spark, frame):
     assert g.payload_digest(g.to_gif(frame([]))).count() == 0
+
+
+def test_hostile_sizes(spark):
+    import time
+
+    bomb = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0) + b";"
+    image = gif([(0, 0, [[1]], 1, None, 5)])[:-1] + b"\x2c" + struct.pack("<HHHHB", 0, 0, 65535, 65535, 0) + b"\x02\x01\x00\x00;"
+    got = g.frame_table(spark.createDataFrame([(1, bomb), (2, image), (2, image)], "doc_id long, media binary"), "doc_id").collect()
+    assert sorted((r["doc_id"], r["frame"]) for r in got) == [(1, -1), (2, -1), (2, -1), (2, 0), (2, 0)]
+    began = time.time()
+    coded = g.lzw_encode(b"a" * 6_000_000)  # a small stream that would expand to 6 MB
+    assert g.lzw_decode(coded, 8, 100).tobytes() == b"a" * 100 and g.lzw_decode(coded, 8, 0).tobytes() == b""
+    assert time.time() - began < 20
+
+
+def test_feature_is_of_drawn_colours(spark, frame):
+    text = "ab" * 40 + "\x00" + "é"
+    t = text.encode()
+    p = t + b"\0" * (-len(t) % 64)
+    counts = ",".join(str(sum(x >> 4 == k for x in p)) for k in range(16))
+    assert g.payload_digest(g.to_gif(frame([(1, text)]))).first()["feature"] == f"1:{counts};{counts};{counts}"
