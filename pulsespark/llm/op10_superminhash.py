@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsespark.llm._common import U64, documents, mix, shingle_hashes, slices, span_hashes, stored, utf8, words
+from pulsespark.llm._common import U64, documents, free_name, mix, shingle_hashes, slices, span_hashes, stored, utf8, words
 from pulsespark.llm._components import components
 
 SHINGLE = 5
@@ -238,9 +238,29 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each group of near-duplicates, the one of smallest id; all columns as they were."""
-    gone = near_duplicates(docs, percent, doc_id, text).where("not kept").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(gone, doc_id, "left_anti")
+    """docs with one row of each group of near-duplicates, the one of smallest id; all columns as they were.
+
+    Texts that are null or hold no word are in no group, so all their rows stay. Where ids are repeated or null, rows count
+    by id and text instead of by id: rows that repeat both are one group, rows of one id with different texts are apart,
+    and null ids come after all others. Which of the rows that repeat id and text stays is open, as they differ at most
+    in other columns. An empty table stays empty.
+    """
+    own = F.col(doc_id).cast("long")
+    odd = docs.groupBy(own.alias("d")).agg(F.count(F.lit(1)).alias("n")).where("d is null or n > 1").limit(1).count()
+    if not odd:
+        gone = near_duplicates(docs, percent, doc_id, text).where("not kept").select(F.col("doc_id").alias(doc_id)).distinct()
+        return docs.join(gone, doc_id, "left_anti")
+    row = F.xxhash64(own, F.col(text))
+    keyed = docs.select(own.alias("id"), F.col(text).alias("t"), row.alias("row"))
+    groups = near_duplicates(keyed, percent, "row", "t").groupBy("doc_id").agg(F.min("component_id").alias("c"), F.max("n_shingles").alias("n")).where("n > 0")
+    ids = keyed.groupBy(F.col("row").alias("doc_id")).agg(F.min("id").alias("id"))
+    order = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("doc_id")).alias("m"))
+    name = free_name(docs, "_row")
+    best = groups.join(ids, "doc_id").groupBy("c").agg(order.alias("m")).select(F.col("m.doc_id").alias(name))
+    rows = docs.withColumn(name, row)
+    chosen = rows.join(best, name, "left_semi").dropDuplicates([doc_id, text])
+    alone = rows.where(~F.coalesce(F.col(text).rlike("[^\\x20\\x09-\\x0D]"), F.lit(False)))
+    return chosen.unionByName(alone).select(*docs.columns)
 
 
 def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,3 +101,12 @@ def test_signatures_do_not_settle_links(spark):
     rows = [(9, 0, 2, 120, d, 60, d, sig[d - 1].tobytes(), packed) for d in (1, 2)]
     df = spark.createDataFrame(rows, "key long, band int, n long, total long, d long, size long, c long, sig binary, set binary")
     assert [tuple(r) for r in o.linked_within(df, 85).collect()] == [(1, 2)]
+
+
+def test_repeated_rows_and_null_ids(spark, frame):
+    text, other = " ".join(words(60, 1)), " ".join(words(60, 2))
+    rows = [(5, text), (5, text), (3, text + " end"), (None, text), (None, other), (None, other), (7, other + " end"), (5, "one two"), (8, None), (8, None), (None, ""), (None, "")]
+    got = o.drop_near_duplicates(frame(rows))
+    assert "_row" not in got.columns and got.columns == frame(rows).columns
+    want = [(3, text + " end"), (5, "one two"), (7, other + " end"), (8, None), (8, None), (None, ""), (None, "")]
+    assert sorted(map(str, [(r["doc_id"], r["text"]) for r in got.collect()])) == sorted(map(str, want))
