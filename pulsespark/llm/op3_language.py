@@ -107,14 +107,14 @@ def score_texts(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]
     return best, 1 / np.exp(log - log.max(axis=1, keepdims=True)).sum(axis=1)
 
 
-def detect(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score (0 to 1).
+def detect(docs: DataFrame, model: Model | None, text: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
+    """docs with lang_pred and score (0 to 1), or columns of the names given.
 
     `und` with score 0 for a null text, a text without a letter, and every text where nothing could be learned. Columns
     of those two names that docs already has are replaced; all others stay. The matrix is broadcast (MATRIX_BYTES at most).
     """
-    docs = docs.drop("lang_pred", "score")
-    schema = schema_with(docs, lang_pred="string", score="double")
+    docs = docs.drop(lang_out, score_out)
+    schema = schema_with(docs, **{lang_out: "string", score_out: "double"})
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -127,7 +127,7 @@ def detect(docs: DataFrame, model: Model | None, text: str = "text") -> DataFram
                 if ok.any():
                     best, p = score_texts(model, [t for t, k in zip(texts, ok, strict=True) if k])
                     langs[ok], scores[ok] = np.array(model.languages, object)[best], p
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores)], names=[*part.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores)], names=[*part.schema.names, lang_out, score_out])
 
     return docs.mapInArrow(run, schema)
 
