@@ -1,7 +1,9 @@
 """A corpus pipeline of five stages: language, near-duplicates, benchmark leaks, mixture, packed token ids.
 
 STAGES lists (name, function); each takes (spark, docs, sf_dir) and returns a DataFrame, and works on all rows that its
-predecessor kept. All but the last return the columns of documents.
+predecessor kept. All but the last return the columns of documents, whatever other columns these have and whatever their
+names. Every stage gives an empty table for an empty one. Null and empty texts are rejected by the first stage; in the
+others, which may be called alone, they are in no group, hold no item, are in no mixture and have the end id alone.
 """
 
 from __future__ import annotations
@@ -12,35 +14,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsespark.llm import op3_language, op5_mixing, op8_bitpack, op9_bm25, op10_superminhash
-from pulsespark.llm._common import documents, shared_dir
+from pulsespark.llm._common import documents, free_name, shared_dir
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from labelled documents and rejects those without a determinable language: no text, no letter, or no
-    language likelier than all others together. The others take the predicted language."""
+    language likelier than all others together. The others take the predicted language. Each row is judged by itself, so
+    repeated rows stay or go alike; ties between languages go."""
     model = op3_language.train(documents(spark, sf_dir))
-    columns = docs.columns
-    known = op3_language.detect(docs, model).where((F.col("lang_pred") != op3_language.UNDETERMINED) & (F.col("score") > 0.5))
-    return known.withColumn("lang", F.col("lang_pred")).select(*columns)
+    lang, score = free_name(docs, "lang_pred"), free_name(docs, "score")
+    known = op3_language.detect(docs, model, lang_out=lang, score_out=score).where((F.col(lang) != op3_language.UNDETERMINED) & (F.col(score) > 0.5))
+    return known.withColumn("lang", F.col(lang)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: 5-word shingles, similarity 0.8 or more."""
+    """One document of each group of near-duplicates stays: 5-word shingles, similarity 0.8 or more. Of rows
+    that repeat id and text one stays; null ids come after all others."""
     return op10_superminhash.drop_near_duplicates(docs, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go. Each row is judged by itself; null items are held by none."""
     return op9_bm25.decontaminate(docs, documents(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: a row for each time that the mix takes a document."""
+    """Sources at their target weights: a row for each time that the mix takes a document. A null source is a source."""
     return op5_mixing.apply_mix(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packed token ids, read back: doc_id, start, n_tokens, ids_crc32."""
+    """Packed token ids, read back: doc_id, start, n_tokens, ids_crc32; a row for each row, in ascending doc_id order."""
     return op8_bitpack.read_ids(op8_bitpack.write_ids(docs))
 
 
