@@ -1,0 +1,54 @@
+"""Breathing from a pulse: modulations by beat, fusion of estimates, and the count that a reference rate must agree with."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Estimates of one window that spread more than this (breaths a minute) are not averaged.
+MAX_SPREAD = 4.0
+#: Breaths a minute that spectral peak and count may be apart.
+AGREE = 2.0
+
+
+def modulations(samples: DataFrame, fs: float, least: int = 4) -> DataFrame:
+    """samples(rec, i, v, peak) -> (rec, name, t, v): a series of each modulation, one value a beat.
+
+    A beat's foot is the least value from the peak before (a second before the first peak) to its own. RIAV is peak less
+    foot, RIIV the foot, RIFV the interval that ends at the beat. Records of fewer than `least` beats give nothing.
+    """
+    after = Window.partitionBy("rec").orderBy("i").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    s = samples.withColumn("_to", F.first(F.when(F.col("peak"), F.col("i")), ignorenulls=True).over(after)).where("_to IS NOT NULL")
+    first = F.min("_to").over(Window.partitionBy("rec"))
+    s = s.withColumn("_first", first).where((F.col("_to") > F.col("_first")) | (F.col("i") >= F.col("_first") - F.lit(int(fs))))
+    b = s.groupBy("rec", F.col("_to").alias("i")).agg(F.min("v").alias("low"), F.max_by("v", "i").alias("high"))
+    w = Window.partitionBy("rec").orderBy("i")
+    b = b.withColumn("low", F.least("low", F.coalesce(F.lag("high").over(w), F.col("low")))).withColumn("before", F.lag("i").over(w)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("rec"))).where(F.col("n") >= least)
+    named = F.array(*[F.struct(F.lit(k).alias("name"), v.cast("double").alias("v")) for k, v in (("RIAV", F.col("high") - F.col("low")), ("RIIV", F.col("low")), ("RIFV", (F.col("i") - F.col("before")) / fs))])
+    out = b.select("rec", (F.col("i") / fs).alias("t"), F.explode(named).alias("m"))
+    return out.select("rec", "m.name", "t", "m.v").where("v IS NOT NULL")
+
+
+def fuse_estimates(estimates: dict[str, Column], irregular: Column, max_spread: float = MAX_SPREAD) -> Column:
+    """The mean of a row's known estimates by modulation, without RIFV where the rhythm is irregular; null where none is
+    known or their deviation is above max_spread."""
+    kept = [F.when(F.coalesce(irregular, F.lit(False)), None).otherwise(v) if k == "RIFV" else v for k, v in estimates.items()]
+    known = [F.when(v.isNotNull() & ~F.isnan(v), v) for v in (x.cast("double") for x in kept)]
+    n = sum((v.isNotNull().cast("int") for v in known), F.lit(0))
+    mean = sum((F.coalesce(v, F.lit(0.0)) for v in known), F.lit(0.0)) / F.nullif(n, F.lit(0))
+    spread = sum((F.coalesce((v - mean) * (v - mean), F.lit(0.0)) for v in known), F.lit(0.0)) / F.nullif(n, F.lit(0))
+    return F.when(F.round(spread, 9) <= max_spread**2, mean)
+
+
+def counted_rate(samples: DataFrame, fs: float) -> DataFrame:
+    """samples(rec, i, v) -> (rec, crossings, counted): rising zero crossings, and breaths a minute between the first and
+    the last of them; null below three."""
+    w = Window.partitionBy("rec").orderBy("i")
+    up = samples.withColumn("_before", F.lag("v").over(w)).withColumn("_up", F.when((F.col("_before") < 0) & (F.col("v") >= 0), F.col("i")))
+    g = up.groupBy("rec").agg(F.count("_up").alias("crossings"), F.min("_up").alias("a"), F.max("_up").alias("b"))
+    return g.select("rec", "crossings", F.when(F.col("crossings") >= 3, 60.0 * (F.col("crossings") - 1) / ((F.col("b") - F.col("a")) / fs)).alias("counted"))
+
+
+def agreed(spectral: Column, counted: Column, apart: float = AGREE) -> Column:
+    """The spectral rate where the count confirms it, else null."""
+    return F.when(F.abs(spectral - counted) <= apart, spectral)

@@ -71,4 +71,4 @@ def gating_sweep(scored: DataFrame, gate: str, thresholds: list[float], label: s
 def decide(windows: DataFrame, key: str, p: str = "p", reliable: str = "reliable") -> DataFrame:
     """Per recording: share of reliable windows and the decision from their mean probability."""
     g = windows.groupBy(key).agg(F.avg(F.when(F.col(reliable), F.col(p))).alias("mean_p"), F.avg(F.col(reliable).cast("double")).alias("coverage"))
-    return g.withColumn("decision", F.when(F.col("mean_p").isNull(), "unreliable").when(F.col("mean_p") >= 0.5, "possible AF").otherwise("regular rhythm"))
+    return g.withColumn("decision", F.when(F.col("mean_p").isNull(), "unreliable").when(F.round("mean_p", 9) >= 0.5, "possible AF").otherwise("regular rhythm"))

@@ -57,6 +57,30 @@ def effective_patches(weights: DataFrame) -> DataFrame:
     return g.select("rec", "n_eff", F.least(F.lit(1.0), F.col("n_eff") / F.greatest(F.lit(1.0), 0.3 * F.col("n"))).alias("coverage"))
 
 
+def agreement(weights: DataFrame) -> DataFrame:
+    """(rec, agreement): mean of the patches' consistency by weight; 1 for a lone patch, null where all weights are 0."""
+    g = weights.groupBy("rec").agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.sum(F.col("weight") * F.col("consistency")), F.sum("weight")).alias("a"))
+    return g.select("rec", F.when(F.col("n") < 2, 1.0).otherwise(F.col("a")).alias("agreement"))
+
+
+def choose_level(counts: DataFrame, levels: dict[int, list[list[int]]], least: float, key: str = "rec", frame: str = "frame", patch: str = "patch", n: str = "n") -> DataFrame:
+    """(key, level): the finest level whose typical group of patches has at least `least` pixels; the coarsest if none.
+
+    levels: number of groups -> the patches of each group, few and fixed. The typical size is the median over frames of
+    the median over groups; groups without pixels count as 0 in a frame, and frames without any pixel are left out.
+    """
+    order = sorted(levels, reverse=True)
+
+    def middle(sums: Column, k: int) -> Column:
+        s = F.array_sort(sums)
+        return (s[(k - 1) // 2] + s[k // 2]) / 2.0
+
+    sums = {x: F.array(*[F.coalesce(F.sum(F.when(F.col(patch).isin(g), F.col(n))), F.lit(0)).cast("double") for g in levels[x]]) for x in order}
+    f = counts.groupBy(key, frame).agg(F.max(n).alias("_most"), *[sums[x].alias(f"_s{x}") for x in order]).where("_most > 0")
+    g = f.select(key, *[middle(F.col(f"_s{x}"), len(levels[x])).alias(f"_m{x}") for x in order]).groupBy(key).agg(*[F.median(f"_m{x}").alias(f"_m{x}") for x in order])
+    return g.select(key, F.coalesce(*[F.when(F.col(f"_m{x}") >= least, x) for x in order], F.lit(order[-1])).alias("level"))
+
+
 def geometric_mean(*parts: Column) -> Column:
     """Geometric mean of parts, each clipped to 0 .. 1."""
     product = F.lit(1.0)

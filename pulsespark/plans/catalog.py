@@ -240,13 +240,18 @@ def loo_consistency(spark, sf_dir):
 
 
 @query("fused_pulse_confidence", f"""WITH {SAMPLES}, s AS (SELECT label, rec AS patch, i, v, sum(v) OVER (PARTITION BY label, i) - v AS rest FROM samples),
-  c AS (SELECT label, patch, pow(greatest(0, least(1, corr(v, rest))), 2) AS weight FROM s GROUP BY label, patch),
-  n AS (SELECT label, sum(weight) AS total, pow(sum(weight), 2) / sum(weight * weight) AS n_eff, count(*) AS patches FROM c GROUP BY label)
-  SELECT n.label AS rec, round(n_eff, 5) AS n_eff, round(least(1, n_eff / greatest(1, 0.3 * patches)), 5) AS coverage FROM n""")
+  c AS (SELECT label, patch, greatest(0, least(1, corr(v, rest))) AS c FROM s GROUP BY label, patch), w AS (SELECT label, patch, c, c * c / sum(c * c) OVER (PARTITION BY label) AS w FROM c),
+  n AS (SELECT label, sum(w * c) AS agreement, 1 / sum(w * w) AS n_eff, least(1, 1 / sum(w * w) / greatest(1, 0.3 * count(*))) AS coverage FROM w GROUP BY label)
+  SELECT s.label AS rec, s.i, round(sum(w.w * s.v), 6) AS fused, round(any_value(n_eff), 5) AS n_eff, round(any_value(coverage), 5) AS coverage, round(any_value(sqrt(agreement * coverage)), 6) AS confidence
+  FROM s JOIN w ON s.label = w.label AND s.patch = w.patch JOIN n ON s.label = n.label GROUP BY s.label, s.i""")
 def fused_pulse_confidence(spark, sf_dir):
+    """The pulse fused by squared consistency, and its confidence from agreement and coverage (no pose and no beat shape)."""
     s = samples(spark, sf_dir).select(F.col("label").alias("rec"), F.col("rec").alias("patch"), "i", "v")
-    weights = trust.consistency(s).select("rec", "patch", F.pow("consistency", F.lit(2.0)).alias("weight"))
-    return rounded(trust.effective_patches(weights), 5)
+    weights = trust.consistency(s).withColumn("weight", F.pow("consistency", F.lit(2.0)))
+    parts = trust.effective_patches(weights).join(trust.agreement(weights), "rec")
+    parts = parts.withColumn("confidence", trust.geometric_mean(F.col("agreement"), F.col("coverage")))
+    out = trust.fuse(s, weights.select("rec", "patch", "weight")).join(parts, "rec")
+    return out.select("rec", F.col("i").cast("long").alias("i"), F.round("fused", 6).alias("fused"), F.round("n_eff", 5).alias("n_eff"), F.round("coverage", 5).alias("coverage"), F.round("confidence", 6).alias("confidence"))
 
 
 LUMA_SQL = "0.299 * l_extendedprice / 400 + 0.587 * l_discount * 2000 + 0.114 * l_tax * 2000"
@@ -260,11 +265,11 @@ def facing_brightness_weights(spark, sf_dir):
     return rounded(table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 1000).alias("rec")).agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("weight")), 4)
 
 
-@query("patch_merge_weighted", """SELECT l_orderkey AS rec, l_linenumber % 3 AS grp, round(sum(l_quantity), 4) AS weight, round(sum(l_discount * l_quantity) / sum(l_quantity) + 1.3e-9, 6) AS r, round(sum(l_tax * l_quantity) / sum(l_quantity) + 1.3e-9, 6) AS g FROM lineitem GROUP BY 1, 2""")
+@query("patch_merge_weighted", """SELECT l_orderkey AS rec, l_linenumber % 3 AS grp, round(sum(l_quantity), 4) AS weight, round(sum(l_discount * l_quantity) / sum(l_quantity), 9) AS r, round(sum(l_tax * l_quantity) / sum(l_quantity), 9) AS g FROM lineitem GROUP BY 1, 2""")
 def patch_merge_weighted(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("rec"), (F.col("l_linenumber") % 3).alias("grp"), "l_quantity", F.col("l_discount").alias("r"), F.col("l_tax").alias("g"))
     m = trust.merge_weighted(l, "l_quantity", ["r", "g"], "rec", "grp")
-    return m.select("rec", "grp", F.round("weight", 4).alias("weight"), F.round(F.col("r") + 1.3e-9, 6).alias("r"), F.round(F.col("g") + 1.3e-9, 6).alias("g"))
+    return m.select("rec", "grp", F.round("weight", 4).alias("weight"), F.round("r", 9).alias("r"), F.round("g", 9).alias("g"))
 
 
 @query("hann_overlap_add", f"""WITH {SAMPLES}, seg AS (SELECT rec, s AS start, i - s AS k, v FROM samples, (VALUES (0), (16), (32)) z(s) WHERE i >= s AND i < s + 32),
@@ -352,18 +357,11 @@ def false_alarm_summary(spark, sf_dir):
     return rounded(a.join(v, "variant"))
 
 
-@query("hr_flags_decide", f"""WITH {CLEAN}, r AS (SELECT rec, 60 / (median(ibi) * 1.2) AS hr, count(*) AS n FROM clean GROUP BY rec) SELECT rec, round(hr, 5) AS hr, CASE WHEN n < 6 THEN 'insufficient' WHEN hr < 50 THEN 'slow' WHEN hr > 100 THEN 'fast' ELSE 'normal' END AS flag FROM r""")
+@query("hr_flags_decide", f"""WITH {CLEAN}, r AS (SELECT rec, us // 604800000000 AS seg, 60 / median(ibi) AS hr, count(*) AS n FROM clean GROUP BY 1, 2) SELECT rec, seg, round(hr, 5) AS hr, CASE WHEN n < 6 THEN 'insufficient' WHEN hr < 50 THEN 'slow' WHEN hr > 100 THEN 'fast' ELSE 'normal' END AS flag FROM r""")
 def hr_flags_decide(spark, sf_dir):
-    g = clean(spark, sf_dir).groupBy("rec").agg((60 / (F.median("ibi") * 1.2)).alias("hr"), F.count(F.lit(1)).alias("n"))
-    return rounded(g.select("rec", "hr", F.when(F.col("n") < 6, "insufficient").when(F.col("hr") < HR_LIMITS[0], "slow").when(F.col("hr") > HR_LIMITS[1], "fast").otherwise("normal").alias("flag")), 5)
-
-
-@query("breathing_fusion", """WITH x AS (SELECT l_orderkey AS rec, list(l_quantity ORDER BY l_quantity) AS e, stddev_pop(l_quantity) AS s, avg(l_quantity) AS m, count(*) AS n FROM lineitem GROUP BY 1)
-  SELECT rec, n, round(CASE WHEN n >= 2 AND s > 4 THEN NULL ELSE m END, 6) AS rate FROM x""")
-def breathing_fusion(spark, sf_dir):
-    """Estimates of one window are averaged, unless two or more differ too much."""
-    g = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("rec")).agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("l_quantity").alias("s"), F.avg("l_quantity").alias("m"))
-    return rounded(g.select("rec", "n", F.when((F.col("n") >= 2) & (F.col("s") > 4), F.lit(None)).otherwise(F.col("m")).alias("rate")))
+    """A flag for each segment (a week) of a record."""
+    g = clean(spark, sf_dir).groupBy("rec", F.floor(F.col("us") / 604800000000).alias("seg")).agg((60 / F.median("ibi")).alias("hr"), F.count(F.lit(1)).alias("n"))
+    return rounded(g.select("rec", "seg", "hr", F.when(F.col("n") < 6, "insufficient").when(F.col("hr") < HR_LIMITS[0], "slow").when(F.col("hr") > HR_LIMITS[1], "fast").otherwise("normal").alias("flag")), 5)
 
 
 @query("set_ops_catalog", """(SELECT c_nationkey AS k, 'both' AS side FROM customer INTERSECT SELECT s_nationkey, 'both' FROM supplier) UNION ALL (SELECT c_nationkey, 'customer' FROM customer EXCEPT SELECT s_nationkey, 'customer' FROM supplier)""")
@@ -424,10 +422,10 @@ def gating_sweep(spark, sf_dir):
 
 
 @query("screening_decision", f"""WITH w AS (SELECT l_suppkey AS rec, l_discount * 10 AS p, l_quantity >= 25 AS reliable FROM lineitem), g AS (SELECT rec, avg(p) FILTER (WHERE reliable) AS mean_p, avg(CASE WHEN reliable THEN 1.0 ELSE 0.0 END) AS coverage FROM w GROUP BY rec)
-  SELECT rec, round(mean_p, 5) AS mean_p, round(coverage, 5) AS coverage, CASE WHEN mean_p IS NULL THEN 'unreliable' WHEN mean_p + 1e-9 >= 0.5 THEN 'possible AF' ELSE 'regular rhythm' END AS decision FROM g""")
+  SELECT rec, round(mean_p, 9) AS mean_p, round(coverage, 9) AS coverage, CASE WHEN mean_p IS NULL THEN 'unreliable' WHEN round(mean_p, 9) >= 0.5 THEN 'possible AF' ELSE 'regular rhythm' END AS decision FROM g""")
 def screening_decision(spark, sf_dir):
-    w = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("rec"), (F.col("l_discount") * 10 + 1e-9).alias("p"), (F.col("l_quantity") >= 25).alias("reliable"))
-    return rounded(models.decide(w, "rec"), 5)
+    w = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("rec"), (F.col("l_discount") * 10).alias("p"), (F.col("l_quantity") >= 25).alias("reliable"))
+    return rounded(models.decide(w, "rec"), 9)
 
 
 @query("stream_monitor_replay", f"""WITH {BEATS} SELECT rec, us // 86400000000 AS day, count(*) AS beats, round(sum(v), 4) AS total FROM beats GROUP BY 1, 2""")

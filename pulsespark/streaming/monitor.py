@@ -21,7 +21,9 @@ def daily(stream: DataFrame, watermark: str = "2 days") -> DataFrame:
 
 
 def replay(spark: SparkSession, path: str) -> DataFrame:
-    """A file source read as a stream to its end; its complete result, written to the shared folder and read again."""
+    """A file source read as a stream to its end. Each micro-batch gives the windows that it changed, in a folder of its
+    own (a repeated batch overwrites it); the last state of each window is the result. Windows that the watermark has
+    passed leave the state, so it stays small."""
     source = spark.read.parquet(path)
     folder, _, name = path.rpartition("/")
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", name).parquet(folder)
@@ -30,17 +32,20 @@ def replay(spark: SparkSession, path: str) -> DataFrame:
     shared = _shared(spark)
     out = f"{shared}/monitor-{uuid.uuid4().hex}"
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    q = daily(rows).writeStream.outputMode("complete").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).foreachBatch(keep).start()
+    q = daily(rows).writeStream.outputMode("update").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).foreachBatch(keep).start()
     q.awaitTermination()
-    return spark.read.parquet(out)
+    last = spark.read.parquet(out).groupBy("rec", "day").agg(F.max_by(F.struct("beats", "total"), "batch").alias("m"))
+    return last.select("rec", "day", "m.beats", "m.total")
 
 
 def _shared(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         import tempfile
 
         found = tempfile.mkdtemp(prefix="pulsespark-")

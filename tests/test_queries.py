@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from pulsespark.plans import catalog, reports  # noqa: F401  (reports registers its queries with the catalog)
+from pulsespark.plans import catalog, reports, vitals  # noqa: F401  (the last two register their queries with the catalog)
 
 SF = "/root/testdata/sf0.001"
 
