@@ -16,6 +16,7 @@ from pulsespark.llm.op7_windows import op7_windows
 from pulsespark.llm.op8_bitpack import op8_bitpack
 from pulsespark.llm.op9_bm25 import op9_bm25
 from pulsespark.llm.op10_superminhash import op10_superminhash
+from pulsespark.llm import op11_trie
 from pulsespark.llm.op12_pieces import op12_pieces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -29,9 +30,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bitpack": op8_bitpack,
     "op9_bm25": op9_bm25,
     "op10_superminhash": op10_superminhash,
+    "op11_trie": op11_trie.op11_trie,
     "op12_pieces": op12_pieces,
 }
 
 #: SQL where it can express the operator. Models, schedules, codecs and approximate searches are held against
 #: brute-force versions in tests/llm instead.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_trie": op11_trie.SQL}
