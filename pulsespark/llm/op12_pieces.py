@@ -29,7 +29,10 @@ from pulsespark.llm.op8_bitpack import tokenizer_path
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Parts of texts that a worker remembers.
-CACHE_PARTS = 400_000
+CACHE_PARTS = 800_000
+#: Parts of up to so many code points find the best pair by a scan.
+SCAN = 64
+NEVER = float("inf")
 #: Code points of a stretch; it grows to the next place where a text may be cut.
 STRETCH = 1 << 19
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -116,7 +119,30 @@ class PieceCodec:
         self.flat, self.used = np.zeros(1 << 18, np.int32), 0
 
     def agenda(self, part: str) -> list[int]:
-        """Ids of one part (blanks already U+2581)."""
+        """Ids of one part (blanks already U+2581). Short parts keep their pairs' scores in a list by place, whose first
+        minimum is the top of the agenda; long ones keep a heap."""
+        symbols = self._scan(part) if len(part) <= SCAN else self._heap(part)
+        out: list[int] = []
+        for s in symbols:
+            i = self.ids.get(s)
+            out += [i] if i is not None else self.byte_id[np.frombuffer(s.encode(), np.uint8)].tolist()
+        return out
+
+    def _scan(self, part: str) -> list[str]:
+        rank, symbols = self.rank.get, list(part)
+        ranks = [rank(part[i : i + 2], NEVER) for i in range(len(part) - 1)]
+        while ranks and (best := min(ranks)) < NEVER:
+            i = ranks.index(best)
+            merged = symbols[i] + symbols[i + 1]
+            symbols[i : i + 2] = [merged]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank(merged + symbols[i + 1], NEVER)
+            if i:
+                ranks[i - 1] = rank(symbols[i - 1] + merged, NEVER)
+        return symbols
+
+    def _heap(self, part: str) -> list[str]:
         rank, symbols, n = self.rank, list(part), len(part)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r, i, i + 1, 2) for i in range(n - 1) if (r := rank.get(part[i : i + 2])) is not None]
@@ -134,12 +160,7 @@ class PieceCodec:
                     heapq.heappush(heap, (r, left, nxt, size + len(symbols[nxt])))
             if (prev := before[left]) >= 0 and (r := rank.get(symbols[prev] + a + b)) is not None:
                 heapq.heappush(heap, (r, prev, left, size + len(symbols[prev])))
-        out: list[int] = []
-        for s in symbols:
-            if s:
-                i = self.ids.get(s)
-                out.extend([i] if i is not None else self.byte_id[np.frombuffer(s.encode(), np.uint8)].tolist())
-        return out
+        return [s for s in symbols if s]
 
     def verify(self, parts: list[str], ids: list[list[int]]) -> None:
         """Raises where the library encodes a part otherwise. Parts stand behind a cut: a line feed, where pieces don't
