@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import json
+from dataclasses import dataclass
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsespark.operators.metrics import auc
@@ -57,6 +61,40 @@ def leave_one_out(rows: DataFrame, features: list[str], label: str, subject: str
     return out if out is not None else rows.withColumn("p", F.lit(None).cast("double"))
 
 
+@dataclass(frozen=True)
+class Bundle:
+    """A classifier and what is needed to apply it: its features, gate and windows."""
+
+    model: PipelineModel
+    info: dict
+
+
+def train(rows: DataFrame, features: list[str], label: str, info: dict, kind: str = "logreg") -> Bundle | None:
+    """A bundle of a model of rows; info (window_s, least_quality, trained_on, ...) is kept with it."""
+    model = fit(rows, features, label, kind)
+    return None if model is None else Bundle(model, {**info, "features": features, "label": label, "kind": kind})
+
+
+def save(bundle: Bundle, path: str) -> None:
+    """The fitted pipeline, and what belongs to it as one row of JSON, in a folder that Spark can write."""
+    spark = SparkSession.active()
+    bundle.model.write().overwrite().save(f"{path}/pipeline")
+    spark.createDataFrame([(json.dumps(bundle.info),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/info")
+
+
+def load(spark: SparkSession, path: str) -> Bundle:
+    return Bundle(PipelineModel.load(f"{path}/pipeline"), json.loads(spark.read.text(f"{path}/info").first()[0]))
+
+
+def screen(windows: DataFrame, bundle: Bundle, quality: str = "quality", p: str = "p") -> DataFrame:
+    """windows with `p` (null where a feature is unknown) and `reliable`: scored, and of at least the bundle's quality."""
+    features = bundle.info["features"]
+    known = functools.reduce(lambda a, b: a & b, (F.col(f).isNotNull() for f in features))
+    scored = predict(bundle.model, windows.withColumn("_known", known).na.fill(0.0, features), "_p")
+    out = scored.select(*[F.when(F.col("_known"), F.col(c)).alias(c) if c in features else F.col(c) for c in windows.columns], F.when(F.col("_known"), F.col("_p")).alias(p), F.col("_known"))
+    return out.withColumn("reliable", F.col("_known") & F.coalesce(F.col(quality) >= bundle.info["least_quality"], F.lit(False))).drop("_known")
+
+
 def gating_sweep(scored: DataFrame, gate: str, thresholds: list[float], label: str) -> DataFrame:
     """Per threshold over rows at or above it: AUC, sensitivity, specificity, and the share of each class kept."""
     t = scored.sparkSession.createDataFrame([(float(x),) for x in thresholds], "threshold double")

@@ -395,21 +395,6 @@ def colour_pulse_pos(spark, sf_dir):
     return p.select("rec", F.size("values").alias("n"), F.aggregate("values", F.lit(0.0), lambda a, x: a + x * x).alias("energy"))
 
 
-def _window_features(spark, sf_dir):
-    """A row for each record and week: rhythm features, class (of the record) and subject (records modulo 10)."""
-    c = clean(spark, sf_dir).withColumn("rec", F.col("rec") * 8 + F.floor(F.col("us") / (7 * 86400000000)))
-    f = iv.variability(c, "us").where("n >= 8").join(iv.poincare(c, "us").drop("n"), "rec").dropna()
-    user = F.floor(F.col("rec") / 8)
-    return f.select("rec", (user % 10).alias("subject"), (F.floor(user / 10) % 2).cast("double").alias("af"), "n", "mean", "nrmssd", "sd1_sd2", "tpr", (F.col("n") / 20.0).alias("quality"))
-
-
-@query("loso_logreg")
-def loso_logreg(spark, sf_dir):
-    """Leave-one-subject-out probabilities; tests hold the method on separable data."""
-    rows = _window_features(spark, sf_dir)
-    return rounded(models.leave_one_out(rows, ["mean", "nrmssd", "sd1_sd2", "tpr"], "af", "subject").select("rec", "subject", "af", "p"), 4)
-
-
 @query("gating_sweep", f"""WITH s AS (SELECT l_quantity / 50 AS gate, l_linestatus = 'O' AS y, l_discount * 10 AS p FROM lineitem), t AS (SELECT x / 4.0::DOUBLE AS threshold FROM range(0, 4) r(x)),
   k AS (SELECT threshold, y, p, rank() OVER (PARTITION BY threshold ORDER BY p) + (count(*) OVER (PARTITION BY threshold, p) - 1) / 2.0 AS r FROM s JOIN t ON gate >= threshold),
   n AS (SELECT count(*) FILTER (WHERE y) AS tp, count(*) FILTER (WHERE NOT y) AS tq FROM s)

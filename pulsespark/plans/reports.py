@@ -78,31 +78,6 @@ def mixed_rollup(spark, sf_dir):
     return rounded(out)
 
 
-WINDOWS = f"""{BEATS}, w AS (SELECT rec, us // 86400000000 AS win, bool_or(symbol = 'signup') AS af, bool_or(symbol = 'error') AS premature,
-  avg((symbol IN ('click', 'signup'))::INT) AS p_none, avg((symbol = 'click')::INT) AS s0, avg((symbol IN ('click', 'view'))::INT) AS s1 FROM beats GROUP BY 1, 2),
-  t AS (SELECT CASE WHEN af THEN 'AF' WHEN premature THEN 'non-AF with extra beats' ELSE 'non-AF without' END AS kind, count(*) AS windows, avg((p_none >= 0.5)::INT) AS p_none,
-    avg((s0 >= 0.5)::INT) AS s0, avg((s1 >= 0.5)::INT) AS s1 FROM w GROUP BY 1)"""
-
-
-def shares(spark, sf_dir):
-    share = lambda *kinds: F.avg(F.col("symbol").isin(*kinds).cast("double"))
-    w = beats(spark, sf_dir).groupBy("rec", F.floor(F.col("us") / 86400000000).alias("win")).agg(
-        F.some(F.col("symbol") == "signup").alias("af"), F.some(F.col("symbol") == "error").alias("premature"),
-        share("click", "signup").alias("p_none"), share("click").alias("s0"), share("click", "view").alias("s1"))
-    return reports.removal_table(w, ["p_none", "s0", "s1"], reports.window_group(F.col("af"), F.col("premature")))
-
-
-@query("removal_table", f"""WITH {WINDOWS} SELECT kind, windows, round(p_none, 6) AS p_none, round(s0, 6) AS s0, round(s1, 6) AS s1 FROM t""")
-def removal_table(spark, sf_dir):
-    return rounded(shares(spark, sf_dir))
-
-
-@query("choose_removal", f"""WITH {WINDOWS}, c AS (SELECT unnest(['s0', 's1']) AS s, unnest([a.s0, a.s1]) AS af, unnest([e.s0, e.s1]) AS f, a.p_none AS base
-    FROM t a, t e WHERE a.kind = 'AF' AND e.kind = 'non-AF with extra beats')
-  SELECT coalesce((SELECT s FROM c WHERE af >= base - 0.3 ORDER BY f, -af, s LIMIT 1), 'none') AS choice""")
-def choose_removal(spark, sf_dir):
-    return reports.choose_removal(shares(spark, sf_dir), ["s0", "s1"], "p_none", 0.3)
-
 
 @query("subject_rates", f"""WITH {BEATS}, s AS (SELECT rec, bool_or(symbol = 'signup' AND v > 60) AS y, avg(v / 20) AS p FROM beats GROUP BY rec)
   SELECT count(*) AS subjects, round(count(*) FILTER (WHERE y AND p >= 0.5) / greatest(count(*) FILTER (WHERE y), 1), 6) AS sensitivity,

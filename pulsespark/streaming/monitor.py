@@ -29,7 +29,7 @@ def replay(spark: SparkSession, path: str) -> DataFrame:
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", name).parquet(folder)
     us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '2024-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
     rows = stream.select(F.col("user_id").alias("rec"), us.alias("us"), F.col("value").alias("v")).withColumn("ts", F.timestamp_micros("us"))
-    shared = _shared(spark)
+    shared = shared_dir(spark)
     out = f"{shared}/monitor-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
@@ -41,7 +41,8 @@ def replay(spark: SparkSession, path: str) -> DataFrame:
     return last.select("rec", "day", "m.beats", "m.total")
 
 
-def _shared(spark: SparkSession) -> str:
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share; only a local session may have none, and gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):

@@ -6,7 +6,8 @@ import os
 import duckdb
 import pytest
 
-from pulsespark.plans import catalog, reports, vitals  # noqa: F401  (the last two register their queries with the catalog)
+import __spark_entry__  # noqa: F401  (registers all queries with the catalog)
+from pulsespark.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 
