@@ -216,21 +216,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     passages. Numbers and lengths of items and the items of each term are those of all items in every index, so scores do
     not depend on their number. Items with a null id are searched too (item_id null).
     """
-    spark = docs.sparkSession
-    items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first()["n"]
-    parts = max(1, -(-int(size) // INDEX_BYTES))
-    items = items.withColumn("p", F.pmod(F.xxhash64("i", "t"), F.lit(parts)).cast("int"))
-    if parts > 1:
-        whole, terms = _statistics(items)
     out = None
-    for p in range(parts):
-        of_all = None
-        if parts > 1:
-            own = terms.where(F.array_contains("parts", p)).select("h", "df").toArrow()
-            h, df = own.column("h").to_numpy().view(np.uint64), own.column("df").to_numpy()
-            of_all = Statistics(*whole, h[np.argsort(h)], df[np.argsort(h)])
-        shared = spark.sparkContext.broadcast(build_index([(r["i"], r["t"]) for r in items.where(F.col("p") == p).collect()], of_all=of_all))
+    for shared in _indexes(docs.sparkSession, benchmark, item_id, item_text):
 
         def run(batches, shared=shared):
             index = shared.value
@@ -246,10 +233,42 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without those that hold a test item; all columns as they were. A null doc_id stays."""
-    gone = contaminated(docs, benchmark, doc_id, text).select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(gone, doc_id, "left_anti")
+def _indexes(spark: SparkSession, benchmark: DataFrame, item_id: str, item_text: str):
+    """A broadcast index of each part of the benchmark, one after another."""
+    items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"))
+    size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first()["n"]
+    parts = max(1, -(-int(size) // INDEX_BYTES))
+    items = items.withColumn("p", F.pmod(F.xxhash64("i", "t"), F.lit(parts)).cast("int"))
+    if parts > 1:
+        whole, terms = _statistics(items)
+    for p in range(parts):
+        of_all = None
+        if parts > 1:
+            own = terms.where(F.array_contains("parts", p)).select("h", "df").toArrow()
+            h, df = own.column("h").to_numpy().view(np.uint64), own.column("df").to_numpy()
+            of_all = Statistics(*whole, h[np.argsort(h)], df[np.argsort(h)])
+        yield spark.sparkContext.broadcast(build_index([(r["i"], r["t"]) for r in items.where(F.col("p") == p).collect()], of_all=of_all))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """docs without the rows whose text holds a test item; all columns as they were.
+
+    Each row is judged by its own text, whatever its id: null and repeated ids make no difference, repeated rows stay or go
+    alike, null and empty texts stay. Rows are filtered where they are read, without a join or a shuffle.
+    """
+    for shared in _indexes(docs.sparkSession, benchmark, item_id, item_text):
+
+        def run(batches, shared=shared):
+            index = shared.value
+            for batch in batches:
+                for part in slices(batch, text):
+                    clean = np.ones(part.num_rows, bool)
+                    clean[[hit[0] for hit in search(index, *utf8(pc.utf8_lower(part.column(text))))]] = False
+                    if clean.any():
+                        yield part.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
 def op9_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:

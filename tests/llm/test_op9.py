@@ -72,7 +72,7 @@ def test_edge_cases(spark, frame, parts, monkeypatch):
     got = o.contaminated(frame(rows), table(spark, its)).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(3, 0), (None, 1), (4, 2)}
     kept = o.decontaminate(frame(rows), table(spark, its)).collect()
-    assert sorted((r["doc_id"] or 0) for r in kept) == [0, 1, 2]
+    assert sorted(r["doc_id"] for r in kept) == [1, 2]  # a row with a null id that holds an item goes, too
     assert o.contaminated(frame([]), table(spark, its)).count() == 0
     assert o.contaminated(frame(rows), table(spark, [])).count() == 0
 
@@ -104,3 +104,12 @@ def test_recall_of_edited_items(spark, frame):
         got = {(x["doc_id"], x["item_id"]) for x in o.contaminated(frame(rows), table(spark, its)).collect()}
         assert all(d == i for d, i in got)
         assert len(got) >= 0.9 * len(its), (changed, len(got))
+
+
+def test_rows_are_judged_by_their_own_text(spark, frame):
+    item = "Question: what does the quick brown fox that lives near the river jump over every day? Answer: the lazy sleeping dog of the farmer"
+    clean = "nothing of that kind stands in this text about mountains and rain"
+    rows = [(None, item), (None, clean), (1, clean), (1, "before it " + item + " and after it"), (2, None), (2, ""), (3, clean), (3, clean)]
+    kept = o.decontaminate(frame(rows), table(spark, [(7, item)])).collect()
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in kept) == sorted((str(d), str(t)) for d, t in rows if t is None or item not in t)
+    assert o.decontaminate(frame([]), table(spark, [(7, item)])).collect() == []
