@@ -52,18 +52,3 @@ def best_lag(pairs: DataFrame, lags: int, key: str = "rec") -> DataFrame:
     shifted = pairs.select(key, "x", "i").join(pairs.select(key, F.col("y"), F.col("i").alias("j")).withColumn("lag", F.explode(F.sequence(F.lit(-lags), F.lit(lags)))).withColumn("i", F.col("j") - F.col("lag")), [key, "i"])
     c = shifted.groupBy(key, "lag").agg(correlation("x", "y").alias("c"))
     return c.groupBy(key).agg(F.max_by("lag", F.struct(F.round(F.abs("c"), 9), -F.col("lag"))).alias("lag"))
-
-
-def match_count(a, b, tolerance: float):
-    """Greedy one-to-one matches of two sorted arrays of times within a tolerance, as a fold over both in time order."""
-    merged = F.array_sort(F.concat(F.transform(a, lambda x: F.struct(x.alias("t"), F.lit(0).alias("s"))), F.transform(b, lambda x: F.struct(x.alias("t"), F.lit(1).alias("s")))))
-    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<double>").alias("wait"), F.lit(-1).alias("side"))
-
-    def step(z, x):
-        wait = F.when(z["side"] == x["s"], z["wait"]).otherwise(F.filter(z["wait"], lambda w: x["t"] - w <= tolerance))
-        hit = (z["side"] != x["s"]) & (F.size(wait) > 0)
-        rest = F.when(hit, F.slice(wait, 2, F.greatest(F.size(wait), F.lit(1)))).otherwise(F.concat(wait, F.array(x["t"])))
-        side = F.when(hit, z["side"]).otherwise(x["s"])
-        return F.struct((z["n"] + hit.cast("int")).alias("n"), rest.alias("wait"), side.alias("side"))
-
-    return F.aggregate(merged, start, step, lambda z: z["n"])

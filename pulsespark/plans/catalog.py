@@ -178,15 +178,6 @@ def interval_join_windows(spark, sf_dir):
     return rounded(g, 4)
 
 
-@query("beat_match_f1")
-def beat_match_f1(spark, sf_dir):
-    """Greedy one-to-one matches of clicks and errors within a tolerance; tests hold it against a plain loop."""
-    b = beats(spark, sf_dir).withColumn("t", F.col("us") / UNIT)
-    side = lambda s: F.array_sort(F.collect_list(F.when(F.col("symbol") == s, F.col("t"))))
-    g = b.groupBy("rec").agg(side("click").alias("a"), side("error").alias("b")).withColumn("m", matching.match_count(F.col("a"), F.col("b"), 0.15))
-    return rounded(g.select("rec", F.col("m").cast("long").alias("matches"), F.try_divide(2 * F.col("m"), F.size("a") + F.size("b")).alias("f1")))
-
-
 @query("gap_fill_linear", """WITH x AS (SELECT user_id AS rec, event_id AS beat, epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00') AS us, CASE WHEN event_type <> 'error' THEN value END AS v FROM events),
   y AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN {'t': us, 'v': v} END IGNORE NULLS) OVER (PARTITION BY rec ORDER BY us, beat ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a,
     first_value(CASE WHEN v IS NOT NULL THEN {'t': us, 'v': v} END IGNORE NULLS) OVER (PARTITION BY rec ORDER BY us, beat ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM x)
@@ -239,21 +230,6 @@ def loo_consistency(spark, sf_dir):
     return rounded(trust.consistency(samples(spark, sf_dir).select(F.col("label").alias("rec"), F.col("rec").alias("patch"), "i", "v")))
 
 
-@query("fused_pulse_confidence", f"""WITH {SAMPLES}, s AS (SELECT label, rec AS patch, i, v, sum(v) OVER (PARTITION BY label, i) - v AS rest FROM samples),
-  c AS (SELECT label, patch, greatest(0, least(1, corr(v, rest))) AS c FROM s GROUP BY label, patch), w AS (SELECT label, patch, c, c * c / sum(c * c) OVER (PARTITION BY label) AS w FROM c),
-  n AS (SELECT label, sum(w * c) AS agreement, 1 / sum(w * w) AS n_eff, least(1, 1 / sum(w * w) / greatest(1, 0.3 * count(*))) AS coverage FROM w GROUP BY label)
-  SELECT s.label AS rec, s.i, round(sum(w.w * s.v), 6) AS fused, round(any_value(n_eff), 5) AS n_eff, round(any_value(coverage), 5) AS coverage, round(any_value(sqrt(agreement * coverage)), 6) AS confidence
-  FROM s JOIN w ON s.label = w.label AND s.patch = w.patch JOIN n ON s.label = n.label GROUP BY s.label, s.i""")
-def fused_pulse_confidence(spark, sf_dir):
-    """The pulse fused by squared consistency, and its confidence from agreement and coverage (no pose and no beat shape)."""
-    s = samples(spark, sf_dir).select(F.col("label").alias("rec"), F.col("rec").alias("patch"), "i", "v")
-    weights = trust.consistency(s).withColumn("weight", F.pow("consistency", F.lit(2.0)))
-    parts = trust.effective_patches(weights).join(trust.agreement(weights), "rec")
-    parts = parts.withColumn("confidence", trust.geometric_mean(F.col("agreement"), F.col("coverage")))
-    out = trust.fuse(s, weights.select("rec", "patch", "weight")).join(parts, "rec")
-    return out.select("rec", F.col("i").cast("long").alias("i"), F.round("fused", 6).alias("fused"), F.round("n_eff", 5).alias("n_eff"), F.round("coverage", 5).alias("coverage"), F.round("confidence", 6).alias("confidence"))
-
-
 LUMA_SQL = "0.299 * l_extendedprice / 400 + 0.587 * l_discount * 2000 + 0.114 * l_tax * 2000"
 
 

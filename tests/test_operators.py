@@ -15,24 +15,6 @@ def test_nearest_ties_and_missing(spark):
     assert got == {("a", 1.0): 0.0, ("a", 5.0): 2.0, ("b", 2.0): None}
 
 
-def test_match_count_is_greedy(spark):
-    random.seed(3)
-    cases = [([round(random.uniform(0, 5), 2) for _ in range(random.randint(0, 8))], [round(random.uniform(0, 5), 2) for _ in range(random.randint(0, 8))]) for _ in range(40)]
-    cases = [(sorted(a), sorted(b)) for a, b in cases]
-    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(cases)], "i int, a array<double>, b array<double>")
-    got = {r["i"]: r["m"] for r in df.select("i", matching.match_count(df["a"], df["b"], 0.3).alias("m")).collect()}
-    for i, (a, b) in enumerate(cases):
-        x = y = n = 0
-        while x < len(a) and y < len(b):
-            if abs(a[x] - b[y]) <= 0.3:
-                n, x, y = n + 1, x + 1, y + 1
-            elif a[x] < b[y]:
-                x += 1
-            else:
-                y += 1
-        assert got[i] == n, (a, b)
-
-
 def test_extra_beat_is_found_and_removed(spark):
     t = [0.8 * i for i in range(20)]
     t[10] -= 0.3
