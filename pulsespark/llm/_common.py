@@ -176,6 +176,14 @@ def drop_stored(spark: SparkSession, *frames: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most `rows` rows of whole texts in an Arrow batch of this session, unless it asks for fewer; the usual 10,000 take
+    some 100 MB a task on either side of the pipe."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
