@@ -14,13 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsespark.llm import op3_language, op5_mixing, op8_bitpack, op9_bm25, op10_superminhash
-from pulsespark.llm._common import documents, free_name, shared_dir
+from pulsespark.llm._common import bounded_batches, documents, free_name, shared_dir
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from labelled documents and rejects those without a determinable language: no text, no letter, or no
     language likelier than all others together. The others take the predicted language. Each row is judged by itself, so
     repeated rows stay or go alike; ties between languages go."""
+    bounded_batches(spark)
     model = op3_language.train(documents(spark, sf_dir))
     lang, score = free_name(docs, "lang_pred"), free_name(docs, "score")
     known = op3_language.detect(docs, model, lang_out=lang, score_out=score).where((F.col(lang) != op3_language.UNDETERMINED) & (F.col(score) > 0.5))
@@ -30,11 +31,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: 5-word shingles, similarity 0.8 or more. Of rows
     that repeat id and text one stays; null ids come after all others."""
+    bounded_batches(spark)
     return op10_superminhash.drop_near_duplicates(docs, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go. Each row is judged by itself; null items are held by none."""
+    bounded_batches(spark)
     return op9_bm25.decontaminate(docs, documents(spark, sf_dir, "benchmark"))
 
 
