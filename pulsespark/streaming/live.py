@@ -24,7 +24,7 @@ from pulsespark.settings import HR_LIMITS, IRREGULAR
 from pulsespark.streaming.monitor import shared_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-OUT = "rec long, at long, seconds double, beats long, rate double, method string, confidence double, rmssd double, extra long, rhythm string, confident_s long, flag string"
+OUT = "rec long, second long, seconds double, beats long, rate double, method string, confidence double, rmssd double, extra long, rhythm string, confident_s long, flag string"
 COLUMNS = [x.split()[0] for x in OUT.split(", ")]
 
 

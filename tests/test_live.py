@@ -50,7 +50,7 @@ def test_idle_records_leave_the_state(spark, tmp_path):
     frame = rows({1: (np.arange(0, 100, 0.8), np.ones(125)), 2: (np.arange(0, 10, 0.8), np.ones(13))})
     write(frame, tmp_path / "in", [20.0, 60.0, 80.0])
     out = live.replay(spark, str(tmp_path / "in"), HOW, 1)
-    assert [(r["rec"], r["at"]) for r in out.where("rhythm = 'closed'").collect()] == [(2, 9)]
+    assert [(r["rec"], r["second"]) for r in out.where("rhythm = 'closed'").collect()] == [(2, 9)]
 
 
 def test_a_reset_begins_anew():
