@@ -121,6 +121,20 @@ def peak_share(x: np.ndarray, fs: float, band: tuple[float, float] = PULSE_BAND,
     return float(p[np.abs(f - f[p.argmax()]) <= apart].sum() / p.sum()) if p.sum() > 0 else 0.0
 
 
+def rate_beside_breathing(x: np.ndarray, fs: float, breathing: float, band: tuple[float, float] = PULSE_BAND) -> float:
+    """Rate of the strongest of the five highest prominent peaks of a tapered spectrum that is no multiple (1 to 3) of the
+    breathing rate, within 3 a minute; the strongest frequency where none is left."""
+    if breathing == breathing and breathing > 0:
+        f, p = power_spectrum(x * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(len(x)) / len(x))), fs)
+        inside = (f >= band[0]) & (f <= band[1])
+        f, p = 60 * f[inside], p[0, inside]
+        peaks = find_peaks(p, prominence=0.05 * p.max()) if p.max() > 0 else []
+        for k in sorted(peaks, key=lambda k: -p[k])[:5]:
+            if all(abs(f[k] - m * breathing) > 3 for m in (1, 2, 3)):
+                return float(f[k])
+    return float(peak_rate(x, fs, band)[0])
+
+
 def find_peaks(x: np.ndarray, distance: int = 1, prominence: float = 0.0) -> np.ndarray:
     """Local maxima (the middle of a plateau), then the higher of any two closer than distance, then by prominence."""
     n = len(x)
