@@ -190,18 +190,26 @@ def encoder_for(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def bounded_encoder(path: str, cache: int) -> WordEncoder:
+    """The worker's encoder, which from now on remembers so many pieces and parts."""
+    encoder = encoder_for(path)
+    encoder.cache = cache
+    return encoder
+
+
 def tokenizer_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
-def write_ids(docs: DataFrame, tokenizer: str | None = None, end: int = END_ID, block_ids: int = BLOCK_IDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def write_ids(docs: DataFrame, tokenizer: str | None = None, end: int = END_ID, block_ids: int = BLOCK_IDS, doc_id: str = "doc_id", text: str = "text", cache_words: int = CACHE_WORDS) -> DataFrame:
     """Writes the packed ids of all texts in ascending doc_id order and returns the table of blocks, read back.
 
     One row per block: shard, block, packed (the format above), doc_ids, counts (ids of each document, end id included).
     Null text is empty (one end id). Null doc_id comes first. Repeated doc_ids are kept, in order of their text. Extra
     columns are ignored. A text that alone exceeds a block makes one larger block. An empty table gives no blocks.
+    cache_words bounds what a worker remembers of the words it has met; ids do not depend on it.
     The text is dealt out by ranges of doc_id, so no task depends on a source or a group of copies.
     """
     spark = docs.sparkSession
@@ -212,7 +220,7 @@ def write_ids(docs: DataFrame, tokenizer: str | None = None, end: int = END_ID,
     plan = plan.withColumn("shard", F.spark_partition_id()).sortWithinPartitions(F.col("d").asc_nulls_first(), F.col("t").asc_nulls_first())
 
     def encode(batches):
-        encoder = encoder_for(tokenizer)
+        encoder = bounded_encoder(tokenizer, cache_words)
         width = width_for(encoder.size)
         out: list[tuple] = []
         shard_now, block, held, ids, counts = None, 0, [], [], []
