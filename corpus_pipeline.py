@@ -17,6 +17,10 @@ from pulsespark.llm import op3_language, op5_mixing, op8_bitpack, op9_bm25, op10
 from pulsespark.llm._common import bounded_batches, documents, free_name, shared_dir
 
 
+#: Words that a tokenizing worker remembers, fewer than usual, as it stays beside the workers of the other stages.
+CACHE_WORDS = 200_000
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from labelled documents and rejects those without a determinable language: no text, no letter, or no
     language likelier than all others together. The others take the predicted language. Each row is judged by itself, so
@@ -48,7 +52,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed token ids, read back: doc_id, start, n_tokens, ids_crc32; a row for each row, in ascending doc_id order."""
-    return op8_bitpack.read_ids(op8_bitpack.write_ids(docs))
+    bounded_batches(spark)
+    return op8_bitpack.read_ids(op8_bitpack.write_ids(docs, cache_words=CACHE_WORDS))
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixture", mixture), ("token_ids", token_ids)]
