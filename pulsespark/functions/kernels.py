@@ -201,9 +201,10 @@ def beat_shape(x: np.ndarray, fs: float, beats: np.ndarray, points: int = 32) ->
 def pos(rgb: np.ndarray, fs: float, seconds: float = 1.6) -> np.ndarray:
     """Pulse from colour (time, 3): every window is normalised by its mean, projected on two axes that skin tone leaves,
     tuned by their deviations, and overlap-added."""
-    n, w = len(rgb), int(np.ceil(seconds * fs))
+    n = len(rgb)
+    w = min(n, int(np.ceil(seconds * fs)))  # a shorter signal is one window
     out = np.zeros(n)
-    if n < w:
+    if n < 2:
         return out
     windows = np.lib.stride_tricks.sliding_window_view(rgb, w, axis=0)  # (windows, 3, w)
     mean = windows.mean(axis=2, keepdims=True)
@@ -220,14 +221,18 @@ def pos(rgb: np.ndarray, fs: float, seconds: float = 1.6) -> np.ndarray:
 def chrom(rgb: np.ndarray, fs: float, seconds: float = 1.6, band: tuple[float, float] = PULSE_BAND) -> np.ndarray:
     """Pulse from colour by chrominance, half-overlapping Hann windows; what no full window reaches stays 0."""
     n = len(rgb)
-    w = max(8, 2 * int(np.ceil(seconds * fs / 2)))
+    w = min(n, max(8, int(np.ceil(seconds * fs))))
+    w += w % 2
     out = np.zeros(n)
     for s in range(0, n - w + 1, w // 2):
         m = rgb[s : s + w].mean(axis=0)
-        c = rgb[s : s + w] / np.where(m > 0, m, 1)
+        if (m <= 0).any():
+            continue
+        c = rgb[s : s + w] / m - 1
         x, y = bandpass(np.stack([3 * c[:, 0] - 2 * c[:, 1], 1.5 * c[:, 0] + c[:, 1] - 1.5 * c[:, 2]]), fs, band)
         d = y.std()
-        out[s : s + w] += (x - (x.std() / d if d > 0 else 0) * y) * np.hanning(w)
+        h = x - (x.std() / d if d > 0 else 0) * y
+        out[s : s + w] += (h - h.mean()) * np.hanning(w)
     return out
 
 

@@ -120,14 +120,14 @@ def window_weights(seg: np.ndarray, base: np.ndarray, find, apart: float | None
     return (weights if weights.sum() > 0 else base) / (weights if weights.sum() > 0 else base).sum(), consistency, agreement
 
 
-def fuse_windows(samples: DataFrame, fs: float, length: int, step: int, apart: float | None = BEAT_APART, find=None, min_valid: float = 0.5) -> DataFrame:
+def fuse_windows(samples: DataFrame, fs: float, length: int, step: int, apart: float | None = BEAT_APART, find=None, min_valid: float = 0.5, power: float = 2.0) -> DataFrame:
     """samples(rec, patch, i, v[, facing, luma]) -> a row for each window: rec, start, patches, weights, consistency,
     agreement (arrays by patch), fused (array by sample), agreed, coverage, shape.
 
     A patch counts if at least min_valid of its samples in the window are known and vary; unknown ones are 0. Base weights
     are facing times brightness, means over the window, where the columns are there; if they leave nothing, all patches
     that count weigh alike. A window without any gives no row. `find` (signal -> times in seconds) may stand for the usual
-    search of beats; apart=None leaves agreement out. One shuffle, by (record, window).
+    search of beats; apart=None leaves agreement out, power=0 consistency. One shuffle, by (record, window).
     """
     find = find or (lambda x: kernels.detect_beats(x, fs))
     optional = [c for c in ("facing", "luma") if c in samples.columns]
@@ -161,7 +161,7 @@ def fuse_windows(samples: DataFrame, fs: float, length: int, step: int, apart: f
             base = base * (np.where(m < FACING_MIN, 0.0, m) if c == "facing" else np.clip((m - DARK[0]) / (DARK[1] - DARK[0]), 0, 1) * (1 - np.clip((m - BRIGHT[0]) / (BRIGHT[1] - BRIGHT[0]), 0, 1)))
         if base.sum() <= 0:
             base = use.astype(float)
-        w, consistency, agreement = window_weights(seg, base, find, apart)
+        w, consistency, agreement = window_weights(seg, base, find, apart, power)
         fused = seg @ w
         agreed = float((w * consistency).sum()) if len(names) > 1 else 1.0
         coverage = min(1.0, 1 / float((w**2).sum()) / max(1.0, ENOUGH_PATCHES * len(names)))

@@ -69,3 +69,17 @@ def detection(rows: DataFrame, hit: Column, truth: Column, *keys: str) -> DataFr
     g = rows.groupBy(*keys).agg(tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), F.count_if(~hit & ~truth).alias("tn"))
     one = F.lit(1)
     return g.withColumn("sensitivity", F.col("tp") / F.greatest(F.col("tp") + F.col("fn"), one)).withColumn("precision", F.col("tp") / F.greatest(F.col("tp") + F.col("fp"), one)).withColumn("f1", 2 * F.col("tp") / F.greatest(2 * F.col("tp") + F.col("fp") + F.col("fn"), one)).withColumn("fp_per_1000", 1000 * F.col("fp") / F.greatest(F.col("fp") + F.col("tn"), one))
+
+
+def flag_report(df: DataFrame, ref: str, pred: str, limits: tuple[float, float]) -> DataFrame:
+    """One row: segments, those scored (both rates known), their coverage, accuracy and kappa of the flags slow, normal and
+    fast, and the mean absolute difference of the rates. Counts of pairs of flags are all that is gathered."""
+    flag = lambda c: F.when(F.col(c) < limits[0], "slow").when(F.col(c) > limits[1], "fast").otherwise("normal")
+    ok = F.col(ref).isNotNull() & F.col(pred).isNotNull()
+    cells = df.groupBy(F.when(ok, flag(ref)).alias("a"), F.when(ok, flag(pred)).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(ok, F.abs(F.col(pred) - F.col(ref)))).alias("e"))
+    names = ("slow", "normal", "fast")
+    of = lambda c, k: F.coalesce(F.sum(F.when(F.col(c) == k, F.col("n"))), F.lit(0))
+    g = cells.agg(F.sum("n").alias("segments"), F.coalesce(F.sum(F.when(F.col("a").isNotNull(), F.col("n"))), F.lit(0)).alias("scored"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n"))).alias("_hit"), F.sum("e").alias("_e"), sum((of("a", k) * of("b", k) for k in names), F.lit(0)).alias("_chance"))
+    n = F.nullif(F.col("scored"), F.lit(0)).cast("double")
+    accuracy, chance = F.coalesce("_hit", F.lit(0)) / n, F.col("_chance") / (n * n)
+    return g.select("segments", "scored", F.try_divide("scored", "segments").alias("coverage"), accuracy.alias("accuracy"), F.try_divide(accuracy - chance, 1 - chance).alias("kappa"), (F.col("_e") / n).alias("hr_mae"))

@@ -236,6 +236,17 @@ def removal_rows(windows: DataFrame, settings: dict[str, tuple[float, float | No
     return windows.mapInArrow(run, schema).where(F.col("nrmssd").isNotNull())
 
 
+def flagged_shares(windows: DataFrame, least: int = 12) -> DataFrame:
+    """windows of at least `least` beats, with beats (their number) and flagged_share, the share that are extra."""
+
+    def score(values):
+        n = np.array([len(v) for v in values])
+        hits = extra_of(padded([np.diff(v) for v in values]))[0].sum(1) if len(values) else n
+        return [n, hits / np.maximum(n, 1)]
+
+    return _map(windows.where(F.size("beats") >= least).withColumnRenamed("beats", "_t"), "_t", [("beats", "long"), ("flagged_share", "double")], score)
+
+
 def signal_windows(samples: DataFrame, fs: float, seconds: float, max_missing: float = MAX_MISSING, least: int = LEAST_IBIS, camera_fs: float | None = None, key: str = "rec", i: str = "i", v: str = "v") -> DataFrame:
     """samples(rec, i, v) -> a row for each whole window: rec, win, start_s, missing, n_beats, hr_bpm, beat_shape,
     peak_share, n_ibis, the five features, beats and `dropped`.
