@@ -72,6 +72,13 @@ def at_level(patches: DataFrame, groups: dict[int, int] | None, weight: str = "n
     return trust.merge_weighted(p, weight, values, "rec", "patch", "i").withColumnRenamed("weight", weight)
 
 
+def valid_patches(patches: DataFrame, least: float = 0.5) -> DataFrame:
+    """patches of which at least that share of the samples has all colours."""
+    known = F.col("r").isNotNull() & F.col("g").isNotNull() & F.col("b").isNotNull()
+    good = patches.groupBy("rec", "patch").agg(F.avg(known.cast("double")).alias("_known")).where(F.col("_known") >= least)
+    return patches.join(good.select("rec", "patch"), ["rec", "patch"], "left_semi")
+
+
 def _packed(rows: DataFrame, columns: list[str], *keys: str) -> DataFrame:
     """(keys, first, values): the columns of each group one after another in order of i, NaN where unknown."""
     cells = [F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in columns]
@@ -155,7 +162,7 @@ def analyse(patches: DataFrame, fs: float, variant: str | Variant = "full", pose
     """
     v = VARIANTS[variant] if isinstance(variant, str) else variant
     length, step = int(round(length_s * fs)), max(1, int(round(step_s * fs)))
-    p = at_level(patches, None) if v.mode == "single" else patches
+    p = valid_patches(at_level(patches, None) if v.mode == "single" else patches)
     moves = v.motion and pose is not None
     colours = p.select("rec", "patch", "i", "r", "g", "b")
     if moves:
