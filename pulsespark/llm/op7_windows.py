@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsespark.llm._common import BASE, BASE_INV, U64, documents, mix, partitions_for, powers, shared_dir, shingle_hashes, slices, span_hashes, stored, text_stats, utf8, words
+from pulsespark.llm._common import BASE, BASE_INV, bounded_batches, U64, documents, mix, partitions_for, powers, shared_dir, shingle_hashes, slices, span_hashes, stored, text_stats, utf8, words
 
 SHINGLE = 5
 #: Words of a passage at least, and its tokens.
@@ -655,4 +655,5 @@ def near_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
 def op7_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate passages of all documents; see near_passages."""
+    bounded_batches(spark)
     return near_passages(documents(spark, sf_dir))
