@@ -173,13 +173,50 @@ def parabolic(x: np.ndarray, peaks: np.ndarray) -> np.ndarray:
     return out
 
 
-def detect_beats(x: np.ndarray, fs: float, band: tuple[float, float] = PULSE_BAND, refine: bool = True) -> np.ndarray:
-    """Times of beats: maxima at least half a dominant period apart and a quarter deviation prominent."""
+def _spline_matrix(points: np.ndarray) -> np.ndarray:
+    """Values at points (-2 to 2) of the cubic spline through five values at -2 .. 2, as a matrix; the first two pieces are one
+    cubic, and the last two."""
+    rows, right = [], []
+
+    def condition(terms, value):  # terms: (piece, place in it, derivative, sign)
+        row = np.zeros(16)
+        for piece, h, k, sign in terms:
+            for p in range(k, 4):
+                row[4 * piece + p] += sign * np.prod([p - q for q in range(k)]) * h ** (p - k)
+        rows.append(row)
+        right.append(value)
+
+    for piece in range(4):
+        condition([(piece, 0, 0, 1)], np.eye(5)[piece])
+        condition([(piece, 1, 0, 1)], np.eye(5)[piece + 1])
+    for piece in range(3):
+        for k in (1, 2):
+            condition([(piece, 1, k, 1), (piece + 1, 0, k, -1)], np.zeros(5))
+    for piece in (0, 2):
+        condition([(piece, 1, 3, 1), (piece + 1, 0, 3, -1)], np.zeros(5))
+    coefficients = np.linalg.solve(np.array(rows), np.array(right)).reshape(4, 4, 5)
+    piece = np.clip(np.floor(points + 2).astype(int), 0, 3)
+    return np.einsum("np,npv->nv", (points + 2 - piece)[:, None] ** np.arange(4), coefficients[piece])
+
+
+SPLINE_POINTS = np.linspace(-1, 1, 21)
+SPLINE = _spline_matrix(SPLINE_POINTS)
+
+
+def spline_peaks(x: np.ndarray, peaks: np.ndarray) -> np.ndarray:
+    """Peak places by the cubic spline through five samples, on a grid of a tenth; peaks within two samples of an end go."""
+    p = peaks[(peaks > 1) & (peaks < len(x) - 2)]
+    return p + SPLINE_POINTS[(x[p[:, None] + np.arange(-2, 3)] @ SPLINE.T).argmax(axis=1)] if len(p) else p.astype(float)
+
+
+def detect_beats(x: np.ndarray, fs: float, band: tuple[float, float] = PULSE_BAND, refine: bool | str = True) -> np.ndarray:
+    """Times of beats: maxima at least half a dominant period apart and a quarter deviation prominent; refined by a parabola
+    (True), a spline ("spline") or not at all (False)."""
     if len(x) < 3 or not np.std(x) > 0:
         return np.zeros(0)
     period = 60 / float(peak_rate(x, fs, band)[0])
     peaks = find_peaks(x, int(max(fs / band[1], 0.5 * period * fs, 1)), 0.25 * float(np.std(x)))
-    return (parabolic(x, peaks) if refine else peaks.astype(float)) / fs
+    return (spline_peaks(x, peaks) if refine == "spline" else parabolic(x, peaks) if refine else peaks.astype(float)) / fs
 
 
 def beat_shape(x: np.ndarray, fs: float, beats: np.ndarray, points: int = 32) -> float:

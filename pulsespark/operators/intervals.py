@@ -66,14 +66,17 @@ def sample_entropy(ibis: DataFrame, share: float = 0.2, t: str = "t", tie: str =
     """Per record: -ln(matches of 3 / matches of 2 intervals), tolerance `share` of the population deviation; the same
     templates for both lengths; 0 without a match of 2.
 
-    A self join on the record, so work grows with the square of a record's intervals: meant for windows, not days.
+    A self join on the record and the first interval's place on a grid as wide as the tolerance, so only templates that can
+    match by it meet.
     """
     w = by_time(t, tie)
     x = ibis.select("rec", F.row_number().over(w).alias("i"), F.col("ibi").alias("x0"), F.lead("ibi", 1).over(w).alias("x1"), F.lead("ibi", 2).over(w).alias("x2"), (share * F.stddev_pop("ibi").over(Window.partitionBy("rec"))).alias("tol")).where("x2 IS NOT NULL")
-    a, b = x.alias("a"), x.alias("b")
+    # a cell and its neighbours hold all first intervals within the tolerance; without a tolerance only equal ones match
+    cell = F.when(F.col("tol") > 0, F.floor(F.col("x0") / F.col("tol"))).otherwise(0)
+    a, b = x.withColumn("cell", cell).alias("a"), x.withColumn("cell", F.explode(F.array(*[cell + k for k in (-1, 0, 1)]))).alias("b")
     two = (F.abs(F.col("a.x0") - F.col("b.x0")) <= F.col("a.tol")) & (F.abs(F.col("a.x1") - F.col("b.x1")) <= F.col("a.tol"))
     three = F.abs(F.col("a.x2") - F.col("b.x2")) <= F.col("a.tol")
-    g = a.join(b, (F.col("a.rec") == F.col("b.rec")) & (F.col("a.i") < F.col("b.i")) & two).groupBy(F.col("a.rec").alias("rec")).agg((F.lit(2) * F.count(F.lit(1))).alias("m2"), (F.lit(2) * F.count_if(three)).alias("m3"))
+    g = a.join(b, (F.col("a.rec") == F.col("b.rec")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.i") < F.col("b.i")) & two).groupBy(F.col("a.rec").alias("rec")).agg((F.lit(2) * F.count(F.lit(1))).alias("m2"), (F.lit(2) * F.count_if(three)).alias("m3"))
     g = x.select("rec").distinct().join(g, "rec", "left")
     return g.select("rec", F.when(F.col("m2") > 0, -F.ln(F.greatest("m3", F.lit(1)) / F.col("m2"))).otherwise(0.0).alias("sample_entropy"))
 

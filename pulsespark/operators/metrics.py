@@ -38,18 +38,65 @@ def kappa(rows: DataFrame, pred: str, truth: str) -> DataFrame:
     return po.join(F.broadcast(pe)).select(F.col("n").cast("long").alias("n"), o.alias("accuracy"), F.try_divide(o - e, 1 - e).alias("kappa"))
 
 
+#: Equal parts of a group's range of values, whose sums are carried on one after another.
+PARTS = 4096
+
+
+def _same(keys: tuple[str, ...]) -> Column:
+    """Equality of keys with their copies named _k0, _k1, ...; null is equal to null."""
+    out = F.lit(True)
+    for k, name in enumerate(keys):
+        out = out & F.col(name).eqNullSafe(F.col(f"_k{k}"))
+    return out
+
+
+def _copies(keys: tuple[str, ...]) -> list[Column]:
+    return [F.col(name).alias(f"_k{k}") for k, name in enumerate(keys)]
+
+
+def sums_before(counts: DataFrame, value: str, amount: str, *keys: str) -> DataFrame:
+    """counts (a row for each distinct value of a group) with `before`: the sum of amount over all smaller values.
+
+    A group's range is cut into PARTS equal parts. Sums of whole parts are few rows a group; inside a part values are
+    summed up beside those of other parts, so no task needs all values of a group.
+    """
+    ends = counts.groupBy(*keys).agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi")).select("_lo", "_hi", *_copies(keys))
+    v = F.col(value).cast("double")
+    part = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((v - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * PARTS), F.lit(PARTS - 1))).otherwise(0).cast("int")
+    c = counts.join(ends, _same(keys)).withColumn("_part", part).drop("_lo", "_hi", *(f"_k{k}" for k in range(len(keys))))
+    whole = c.groupBy(*keys, "_part").agg(F.sum(amount).alias("_n"))
+    up = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    under = whole.select(F.coalesce(F.sum("_n").over(up), F.lit(0)).alias("_under"), F.col("_part").alias("_p"), *_copies(keys))
+    inside = Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    out = c.join(under, _same(keys) & (F.col("_part") == F.col("_p")))
+    return out.withColumn("before", F.col("_under") + F.coalesce(F.sum(amount).over(inside), F.lit(0))).drop("_under", "_part", "_p", *(f"_k{k}" for k in range(len(keys))))
+
+
 def auc(rows: DataFrame, score: str, positive: Column, *keys: str) -> DataFrame:
     """Area under the ROC curve by ranks, ties shared; null where one class is missing.
 
-    Ranks come from counts of equal scores and prefix sums over distinct scores, so repeated scores meet once only.
+    Equal scores are counted first, and negatives below each score come from `sums_before`.
     """
     c = rows.where(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("_score")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("q"))
-    w = Window.partitionBy(*keys).orderBy("_score").rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn("below", F.coalesce(F.sum("q").over(w), F.lit(0)))
-    g = c.groupBy(*keys).agg(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2.0)).alias("u"), F.sum("p").alias("p"), F.sum("q").alias("q"))
+    c = sums_before(c, "_score", "q", *keys)
+    g = c.groupBy(*keys).agg(F.sum(F.col("p") * (F.col("before") + F.col("q") / 2.0)).alias("u"), F.sum("p").alias("p"), F.sum("q").alias("q"))
     return g.select(*keys, F.try_divide("u", F.col("p") * F.col("q").cast("double")).alias("auc"), "p", "q")
 
 
+def quantiles(rows: DataFrame, value: str, points: list[float], *keys: str) -> DataFrame:
+    """(keys, q): the exact points (0 to 1) of known values of each group, between two values in a straight line. Equal values
+    are counted first, and a point is looked up where the counts before a value reach it, so no task holds a group."""
+    c = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("n"))
+    total = c.groupBy(*keys).agg(F.sum("n").alias("_total")).select("_total", *_copies(keys))
+    c = sums_before(c, "_v", "n", *keys).join(total, _same(keys))
+    place = lambda p: p * (F.col("_total") - 1)
+    at = lambda rank: F.max(F.when((F.col("before") <= rank) & (rank < F.col("before") + F.col("n")), F.col("_v").cast("double")))
+    ends = [x for k, p in enumerate(points) for x in (at(F.floor(place(p))).alias(f"_a{k}"), at(F.ceil(place(p))).alias(f"_b{k}"))]
+    g = c.groupBy(*keys).agg(F.max("_total").alias("_total"), *ends)
+    line = [F.col(f"_a{k}") + (F.col(f"_b{k}") - F.col(f"_a{k}")) * (place(p) - F.floor(place(p))) for k, p in enumerate(points)]
+    return g.select(*keys, F.array(*line).alias("q"))
+
+
 def with_total(rows: DataFrame, key: str, *aggregates: Column, total: str = "all") -> DataFrame:
     """Aggregates per group and over all rows, by one rollup."""
     g = rows.rollup(key).agg(F.grouping(key).alias("_g"), *aggregates)
@@ -58,9 +105,9 @@ def with_total(rows: DataFrame, key: str, *aggregates: Column, total: str = "all
 
 def describe(rows: DataFrame, value: str, *keys: str) -> DataFrame:
     """count, mean, std, min, 10 / 50 / 90 % points and max per group."""
-    q = F.percentile(value, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    g = rows.groupBy(*keys).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), q.alias("q"), F.max(value).alias("max"))
-    return g.select(*keys, "count", "mean", "std", "min", F.col("q")[0].alias("p10"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p90"), "max")
+    g = rows.groupBy(*keys).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    q = quantiles(rows, value, [0.1, 0.5, 0.9], *keys).select("q", *_copies(keys))
+    return g.join(q, _same(keys), "left").select(*keys, "count", "mean", "std", "min", F.col("q")[0].alias("p10"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p90"), "max")
 
 
 def detection(rows: DataFrame, hit: Column, truth: Column, *keys: str) -> DataFrame:
@@ -83,3 +130,17 @@ def flag_report(df: DataFrame, ref: str, pred: str, limits: tuple[float, float])
     n = F.nullif(F.col("scored"), F.lit(0)).cast("double")
     accuracy, chance = F.coalesce("_hit", F.lit(0)) / n, F.col("_chance") / (n * n)
     return g.select("segments", "scored", F.try_divide("scored", "segments").alias("coverage"), accuracy.alias("accuracy"), F.try_divide(accuracy - chance, 1 - chance).alias("kappa"), (F.col("_e") / n).alias("hr_mae"))
+
+
+def error_report(rows: DataFrame, methods: list[str], ref: str, key: str, over: float = 10.0, irregular: str | None = None) -> DataFrame:
+    """Per group and for "all": rows, share of irregular ones, and of each method the mean absolute error and the share of errors
+    above `over`; unknown values are left out of a method's own figures. One rollup, combined before the shuffle."""
+    error = lambda m: F.abs(F.col(m) - F.col(ref))
+    own = [c for m in methods for c in (F.avg(error(m)).alias(f"{m}_mae"), F.avg(F.when(error(m).isNotNull(), (error(m) > over).cast("double"))).alias(f"{m}_over"))]
+    share = [F.avg(F.col(irregular).cast("double")).alias("irregular_share")] if irregular else []
+    return with_total(rows, key, F.count(F.lit(1)).alias("n"), *share, *own)
+
+
+def variant_report(rows: DataFrame, variant: list[str], means: list[str], totals: list[str]) -> DataFrame:
+    """Per variant: rows, means of some columns (unknown values left out) and totals of others."""
+    return rows.groupBy(*variant).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in means], *[F.sum(c).alias(c) for c in totals])

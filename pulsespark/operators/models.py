@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsespark.operators.metrics import auc
+from pulsespark.streaming.monitor import shared_dir
 
 
 def make_model(kind: str, features: list[str], label: str, rows: int) -> Pipeline:
@@ -52,7 +54,9 @@ def predict(model: PipelineModel | None, rows: DataFrame, out: str = "p") -> Dat
 def leave_one_out(rows: DataFrame, features: list[str], label: str, subject: str, kind: str = "logreg") -> DataFrame:
     """rows with `p` from a model that has not seen the row's subject. One fit a subject, on all others' rows; subjects
     are few by nature (a few dozen), and each fit is distributed."""
-    rows = rows.persist()
+    path = f"{shared_dir(rows.sparkSession)}/subjects-{uuid.uuid4().hex}"
+    rows.write.partitionBy(subject).parquet(path)  # read once a fit, which prunes the subject by its folder
+    rows = rows.sparkSession.read.schema(rows.schema).parquet(path).select(*rows.columns)
     subjects = sorted(r[0] for r in rows.select(subject).distinct().collect() if r[0] is not None)
     out = None
     for s in subjects:

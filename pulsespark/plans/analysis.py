@@ -9,6 +9,7 @@ from pulsespark.plans.catalog import CLEAN, SAMPLES, clean, query, rounded, samp
 from pulsespark.plans.windows import REMOVAL, event_windows
 from pulsespark.settings import HR_LIMITS
 from pulsespark.sources.tables import signals as packed
+from pulsespark.sources.tables import table
 
 FS = 30.0
 FRAMES = 90
@@ -85,3 +86,22 @@ def analysed_records(spark, sf_dir):
     pose = s.groupBy("rec", "i").agg(F.avg("r").alias("yaw"), F.avg("b").alias("pitch"))
     a = analysis.analyse(s, FS, "full", pose, ["yaw", "pitch"], length_s=1.6, step_s=0.4)
     return rounded(a.records.select("rec", "rate", F.size("beats").alias("n_beats"), "confidence", "n_windows"), 3)
+
+
+@query("heart_rate_summary", """WITH x AS (SELECT l_returnflag AS grp, l_quantity + 50.0::DOUBLE AS ref, l_linestatus = 'O' AS irregular, l_quantity + l_discount * 200.0::DOUBLE + 45 AS fft, CASE WHEN l_tax > 0.01 THEN l_quantity + l_tax * 300.0::DOUBLE + 40 END AS beats FROM lineitem)
+  SELECT CASE WHEN grouping(grp) = 1 THEN 'all' ELSE grp END AS grp, count(*) AS n, round(avg(irregular::INT), 6) AS irregular_share, round(avg(abs(fft - ref)), 5) AS fft_mae, round(count(*) FILTER (WHERE abs(fft - ref) > 10) / count(fft)::DOUBLE, 6) AS fft_over,
+    round(avg(abs(beats - ref)), 5) AS beats_mae, round(count(*) FILTER (WHERE abs(beats - ref) > 10) / count(beats)::DOUBLE, 6) AS beats_over FROM x GROUP BY ROLLUP (grp)""")
+def heart_rate_summary(spark, sf_dir):
+    """Errors of two ways to a rate per group and over all; columns of lineitem stand for windows' rates."""
+    q = F.col("l_quantity")
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("grp"), (q + 50.0).alias("ref"), (F.col("l_linestatus") == "O").alias("irregular"), (q + F.col("l_discount") * 200.0 + 45).alias("fft"), F.when(F.col("l_tax") > 0.01, q + F.col("l_tax") * 300.0 + 40).alias("beats"))
+    r = metrics.error_report(l, ["fft", "beats"], "ref", "grp", irregular="irregular")
+    return r.select("grp", "n", *[F.round(c, 5 if c.endswith("mae") else 6).alias(c) for c in ("irregular_share", "fft_mae", "fft_over", "beats_mae", "beats_over")])
+
+
+@query("variant_summary", """SELECT l_returnflag AS variant, l_linestatus AS refine, count(*) AS n, round(avg(l_quantity), 5) AS l_quantity, round(avg(CASE WHEN l_discount > 0.02 THEN l_discount END), 7) AS error, round(sum(l_tax), 4) AS l_tax FROM lineitem GROUP BY 1, 2""")
+def variant_summary(spark, sf_dir):
+    """Means and totals of a variant and refinement; columns of lineitem stand for scores of recordings, some without a reference."""
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("variant"), F.col("l_linestatus").alias("refine"), "l_quantity", F.when(F.col("l_discount") > 0.02, F.col("l_discount")).alias("error"), "l_tax")
+    r = metrics.variant_report(l, ["variant", "refine"], ["l_quantity", "error"], ["l_tax"])
+    return r.select("variant", "refine", "n", F.round("l_quantity", 5).alias("l_quantity"), F.round("error", 7).alias("error"), F.round("l_tax", 4).alias("l_tax"))

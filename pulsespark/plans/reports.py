@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pulsespark.operators import intervals as iv
-from pulsespark.operators import reports
+from pulsespark.operators import metrics, reports
 from pulsespark.plans.catalog import BEATS, FOUND, ibis, query, rounded
 from pulsespark.sources.tables import beats, table
 
@@ -73,8 +73,9 @@ def extra_beats_per_subject(spark, sf_dir):
 @query("mixed_rollup", """SELECT l_returnflag AS variant, round(avg(l_quantity), 6) AS mean_quantity, round(median(l_discount), 6) AS median_discount, round(sum(l_quantity), 2) AS quantity,
   count(DISTINCT l_suppkey) AS suppliers, count(*) FILTER (WHERE l_tax >= 0.05) AS over, count(*) AS n FROM lineitem GROUP BY 1""")
 def mixed_rollup(spark, sf_dir):
-    g = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("variant"))
-    out = g.agg(F.avg("l_quantity").alias("mean_quantity"), F.median("l_discount").alias("median_discount"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.count_distinct("l_suppkey").alias("suppliers"), F.count_if(F.col("l_tax") >= 0.05).alias("over"), F.count(F.lit(1)).alias("n"))
+    rows = table(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "variant")
+    out = rows.groupBy("variant").agg(F.avg("l_quantity").alias("mean_quantity"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.count_distinct("l_suppkey").alias("suppliers"), F.count_if(F.col("l_tax") >= 0.05).alias("over"), F.count(F.lit(1)).alias("n"))
+    out = out.join(metrics.quantiles(rows, "l_discount", [0.5], "variant").select("variant", F.col("q")[0].alias("median_discount")), "variant")
     return rounded(out)
 
 
