@@ -264,4 +264,6 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_
 
 
 def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicates of all documents; see near_duplicates for nulls, short texts, repeated rows and empty tables. Sets
+    are compared on 40-bit hashes of their shingles."""
     return near_duplicates(documents(spark, sf_dir))

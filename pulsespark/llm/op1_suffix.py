@@ -396,5 +396,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def op1_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document less what 100 bytes of it repeat; see remove_repeats. Null texts count as empty (0 bytes, 0 spans, the
+    hash of nothing), repeated rows repeat each other, rows of one id are told apart by their text, an empty table gives none."""
     got = remove_repeats(documents(spark, sf_dir))
     return got.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -173,6 +173,9 @@ def keep_above_quantile(scored: DataFrame, quantile: float, score: str = "score"
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score from 0 to 1 of every document; see learn and rate. Null and empty texts have features like any text and get a score,
+    texts of any length are read whole, repeated rows get equal scores, documents without a label are scored and not learnt
+    from, an empty table gives none. A null id is not held out."""
     docs = documents(spark, sf_dir)
     ranking = learn(docs.where(remainder(4) != 2), documents(spark, sf_dir, "labels").where(remainder(4) != 2))
     scored = rate(docs.select("doc_id", "text"), ranking)

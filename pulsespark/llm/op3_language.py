@@ -137,6 +137,9 @@ def remainder(n: int, key: str = "doc_id"):
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; see train and detect. Null texts and texts without a letter are `und` with score 0, ties go to
+    the language that sorts first, repeated rows get equal answers, texts of any length are read whole, an empty table
+    gives none. A null id is not held out."""
     docs = documents(spark, sf_dir)
     model = train(docs.where(remainder(3) != 1))
     return detect(docs.select("doc_id", "text"), model).select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score")

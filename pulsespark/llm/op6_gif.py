@@ -345,4 +345,6 @@ def payload_digest(media: DataFrame) -> DataFrame:
 
 
 def op6_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document stored as GIF frames and read back; see to_gif and payload_digest. A null text is an empty one (64
+    bytes of padding), equal texts give equal values whatever their ids, an empty table gives none."""
     return payload_digest(stored(to_gif(documents(spark, sf_dir)), "gif"))

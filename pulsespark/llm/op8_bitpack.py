@@ -297,4 +297,6 @@ def read_ids(blocks: DataFrame) -> DataFrame:
 
 
 def op8_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places and checksums of every document's ids in the packed files; see write_ids and read_ids. A null text has the end id
+    alone, null ids come first, rows that repeat an id stay in order of their text, an empty table gives none."""
     return read_ids(write_ids(documents(spark, sf_dir)))
