@@ -6,24 +6,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Grid points of a pause that are made from one row.
+PAUSE = 4096
+
+
 def resample(df: DataFrame, step: int, t: str = "us", x: str = "v", key: str = "rec", order: str = "beat") -> DataFrame:
     """(key, g, value): x at g = first t, first t + step, ... before the last t of each key, by straight lines.
 
     A grid point is null where its nearest sample is (of two equally near ones, the later); else it lies on the line between
     the nearest samples with a value on either side, or has the value of the only side. Each pair of neighbours gives the
-    points between them, so no grid is joined. Keys with one sample have none; rows with a null t are left out.
+    points between them, so no grid is joined; a long pause is cut into stretches of PAUSE points first, so none is one
+    large row. Keys with one sample have none, keys with fewer than two known samples have nulls; rows with a null t are
+    left out.
     """
     w = Window.partitionBy(key).orderBy(t, order)
     before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing)
     known = F.when(F.col(x).isNotNull(), F.struct(F.col(t).alias("t"), F.col(x).alias("x")))
     s = df.where(F.col(t).isNotNull()).select(
         key, F.col(t).alias("t"), F.col(x).isNotNull().alias("here"), F.min(t).over(Window.partitionBy(key)).alias("t0"), F.lead(t).over(w).alias("next"),
-        F.lead(F.col(x).isNotNull()).over(w).alias("there"), F.last(known, ignorenulls=True).over(before).alias("a"), F.first(known, ignorenulls=True).over(after).alias("b"))
+        F.lead(F.col(x).isNotNull()).over(w).alias("there"), F.last(known, ignorenulls=True).over(before).alias("a"), F.first(known, ignorenulls=True).over(after).alias("b"), F.count(x).over(Window.partitionBy(key)).alias("n"))
     low, high = F.ceil((F.col("t") - F.col("t0")) / step), F.ceil((F.col("next") - F.col("t0")) / step) - 1
-    g = s.where("next > t").where(low <= high).withColumn("g", F.explode(F.sequence(low, high))).withColumn("g", F.col("g") * step + F.col("t0"))
+    g = s.where("next > t").withColumn("low", low.cast("long")).withColumn("high", high.cast("long")).where("low <= high")
+    g = g.withColumn("from", F.explode(F.sequence(F.col("low"), F.col("high"), F.lit(PAUSE).cast("long"))))
+    g = g.withColumn("g", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + PAUSE - 1, F.col("high"))))).withColumn("g", F.col("g") * step + F.col("t0"))
     line = F.col("a.x") + (F.col("b.x") - F.col("a.x")) * (F.col("g") - F.col("a.t")) / (F.col("b.t") - F.col("a.t"))
     near = F.when(F.col("g") - F.col("t") < F.col("next") - F.col("g"), F.col("here")).otherwise(F.when(F.col("g") == F.col("t"), F.col("here")).otherwise(F.col("there")))
-    return g.select(key, "g", F.when(near, F.coalesce(line, F.col("a.x"), F.col("b.x"))).alias("value"))
+    return g.select(key, "g", F.when(near & (F.col("n") >= 2), F.coalesce(line, F.col("a.x"), F.col("b.x"))).alias("value"))
 
 
 def natural_key(name: Column) -> Column:

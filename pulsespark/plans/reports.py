@@ -14,12 +14,12 @@ STEP = 21_600_000_000
 
 
 @query("resample_grid", f"""WITH {BEATS}, s AS (SELECT rec, beat, us, CASE WHEN symbol <> 'error' THEN v END AS x FROM beats),
-  e AS (SELECT rec, min(us) AS t0, max(us) AS t1 FROM s GROUP BY rec),
-  g AS (SELECT rec, t0 + unnest(range(0, t1 - t0, {STEP})) AS g FROM e),
-  n AS (SELECT g.rec, g, (SELECT max((us, beat)) FROM s WHERE s.rec = g.rec AND us <= g) AS lo, (SELECT min((us, beat)) FROM s WHERE s.rec = g.rec AND us >= g) AS hi,
+  e AS (SELECT rec, min(us) AS t0, max(us) AS t1, count(x) AS known FROM s GROUP BY rec),
+  g AS (SELECT rec, known, t0 + unnest(range(0, t1 - t0, {STEP})) AS g FROM e),
+  n AS (SELECT g.rec, g, known, (SELECT max((us, beat)) FROM s WHERE s.rec = g.rec AND us <= g) AS lo, (SELECT min((us, beat)) FROM s WHERE s.rec = g.rec AND us >= g) AS hi,
     (SELECT max((us, beat)) FROM s WHERE s.rec = g.rec AND us <= g AND x IS NOT NULL) AS a, (SELECT min((us, beat)) FROM s WHERE s.rec = g.rec AND us >= g AND x IS NOT NULL) AS b FROM g),
   k AS (SELECT n.*, CASE WHEN g - lo[1] < hi[1] - g THEN lo[2] ELSE hi[2] END AS near FROM n)
-  SELECT k.rec, g, round(CASE WHEN s.x IS NOT NULL THEN CASE WHEN a IS NULL THEN sb.x WHEN b IS NULL OR a[1] = b[1] THEN sa.x ELSE sa.x + (sb.x - sa.x) * (g - a[1]) / (b[1] - a[1]) END END, 6) AS value
+  SELECT k.rec, g, round(CASE WHEN s.x IS NOT NULL AND known >= 2 THEN CASE WHEN a IS NULL THEN sb.x WHEN b IS NULL OR a[1] = b[1] THEN sa.x ELSE sa.x + (sb.x - sa.x) * (g - a[1]) / (b[1] - a[1]) END END, 6) AS value
   FROM k JOIN s ON s.rec = k.rec AND s.beat = near LEFT JOIN s sa ON sa.rec = k.rec AND sa.beat = a[2] LEFT JOIN s sb ON sb.rec = k.rec AND sb.beat = b[2]""")
 def resample_grid(spark, sf_dir):
     b = beats(spark, sf_dir).withColumn("v", F.when(F.col("symbol") != "error", F.col("v")))

@@ -55,7 +55,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def rhythm_state(stream: DataFrame, span: float = 30.0, least: int = 6) -> DataFrame:
     """(rec, t, n, rate, irregular) after each micro-batch of a stream (rec, ts, t): the beats of the last `span` seconds
-    of event time are kept per record, in time order, and nothing older."""
+    of event time are kept per record, in time order, and nothing older. Records never leave the state here; where they
+    come and go, use `live.status_stream`, whose timers close idle ones."""
 
     def step(key, frames, state: GroupState):
         held = list(state.get[0]) if state.exists else []
