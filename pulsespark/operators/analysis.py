@@ -10,6 +10,7 @@ its patches.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from pulsespark.functions import kernels
 from pulsespark.operators import fusion, trust
 from pulsespark.operators.windows import _map
+from pulsespark.streaming.monitor import shared_dir
 
 
 @dataclass(frozen=True)
@@ -135,6 +137,13 @@ def without_motion(colours: DataFrame, motion: DataFrame, fs: float, length: int
     return back.groupBy("rec", F.col("patch.patch").alias("patch"), "i").agg(one("r"), one("g"), one("b"))
 
 
+def _kept(rows: DataFrame) -> DataFrame:
+    """rows as a table in the shared folder, written now."""
+    path = f"{shared_dir(rows.sparkSession)}/analysis-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _rates(windows: DataFrame, fs: float) -> DataFrame:
     return _map(windows, "values", [("rate", "double")], lambda values: [[float(kernels.peak_rate(x[None, :], fs)[0]) if len(x) > 2 and x.std() > 0 else np.nan for x in values]])
 
@@ -175,6 +184,7 @@ def analyse(patches: DataFrame, fs: float, variant: str | Variant = "full", pose
     if sides:
         pulses = pulses.join(p.select("rec", "patch", "i", *sides), ["rec", "patch", "i"])
     w = fusion.fuse_windows(pulses, fs, length, step, fusion.BEAT_APART if v.beats else None, power=2.0 if v.consistency else 0.0)
+    w = _kept(w)  # read by the windows, the pulse and the records
     still = fusion.stillness(pose, fs, channels[:3], length, step).select("rec", "start", "still") if pose is not None else None
     w = w.join(still, ["rec", "start"], "left") if still is not None else w.withColumn("still", F.lit(1.0))
     w = w.withColumn("still", F.coalesce("still", F.lit(1.0))).withColumn("confidence", fusion.confidence(F.col("agreed"), F.col("shape"), F.col("still"), F.col("coverage")))
