@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pulsespark.plans.catalog import BEATS, query, rounded
@@ -26,6 +27,12 @@ def arrivals(spark, sf_dir) -> str:
     return folder
 
 
+def nearest(c: str, digits: int) -> Column:
+    """A double rounded as its value times a power of ten is: `F.round` rounds the shortest decimal that reads as the double, so
+    means of sixteen values of two decimals, which end in a five, would go up where the double lies below."""
+    return (F.round(F.col(c) * 10.0**digits) / 10.0**digits).alias(c)
+
+
 @query("live_status", f"""WITH {BEATS}, b AS (SELECT rec, beat, us / 3.6e10 AS t, v FROM beats), e AS (SELECT rec, unnest(range(floor(min(t))::BIGINT + 1, ceil(max(t))::BIGINT)) AS s FROM b GROUP BY rec),
   j AS (SELECT e.rec, s, t, beat, v, t - lag(t) OVER (PARTITION BY e.rec, s ORDER BY t, beat) AS ibi FROM e JOIN b ON b.rec = e.rec AND t > s - 32 AND t <= s),
   m AS (SELECT *, ibi - lag(ibi) OVER w AS d, lead(ibi) OVER w AS after, lag(t) OVER w AS before, count(*) OVER (PARTITION BY rec, s) AS beats,
@@ -41,4 +48,4 @@ def arrivals(spark, sf_dir) -> str:
 def live_status(spark, sf_dir):
     """A status for every second (unit of time) of every record, by a stream of several micro-batches."""
     got = live.replay(spark, arrivals(spark, sf_dir), HOW, FILES).where("rhythm <> 'closed'")
-    return got.select("rec", "second", F.round("seconds", 6).alias("seconds"), "beats", F.round("rate", 5).alias("rate"), "method", F.round("confidence", 5).alias("confidence"), F.round("rmssd", 4).alias("rmssd"), "extra", "rhythm", "confident_s", "flag")
+    return got.select("rec", "second", nearest("seconds", 6), "beats", nearest("rate", 5), "method", nearest("confidence", 5), nearest("rmssd", 4), "extra", "rhythm", "confident_s", "flag")

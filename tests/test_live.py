@@ -85,3 +85,16 @@ def test_samples_of_a_pulse():
     assert abs(last[3] - 72) < 3 and last[4] == "window" and last[8] == "regular rhythm"
     none = live.Monitor(how).feed((a, None, False) for a in t[:60].tolist())
     assert none[-1][8] == "no face" and none[-1][3] is None
+
+
+def test_means_that_end_in_a_five_round_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    con = duckdb.connect()
+    con.sql(f"copy (select * from '/root/testdata/sf0.1/events.parquet' where user_id in (24, 63, 66, 238)) to '{tmp_path}/events.parquet'")
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet'")
+    df = entry.queries()["live_status"](spark, str(tmp_path)).select("rec", "second", "confidence", "rate")
+    want = con.sql(f"select rec, second, confidence, rate from ({entry.oracle_sql()['live_status']})").fetchall()
+    assert sorted(map(tuple, df.collect()), key=lambda r: r[:2]) == sorted(want, key=lambda r: r[:2]) and len(want) > 200
