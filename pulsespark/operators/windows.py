@@ -10,6 +10,7 @@ import warnings
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,8 +21,10 @@ from pulsespark.settings import CONTEXT, IBI_RANGE, MAX_SHARE, PREMATURITY, RECO
 FEATURES = ("nrmssd", "shannon_entropy", "sample_entropy", "sd1_sd2", "tpr")
 LEAST_IBIS = 12
 MAX_MISSING = 0.1
-#: Cells of the largest temporary of a batch (pairs of intervals of all its windows).
-CELLS = 1 << 24
+#: Cells of the largest temporary (pairs of intervals, or surroundings of each).
+CELLS = 1 << 20
+#: Values of the windows that are scored at once, padded to the longest of them (or one window).
+VALUES = 1 << 15
 
 
 # ---------------------------------------------------------------- intervals of many windows at once
@@ -75,15 +78,17 @@ def _sample_entropy(x: np.ndarray, n: np.ndarray, share: float = 0.2) -> np.ndar
         return out
     tolerance = share * _deviation(x)
     step = max(1, CELLS // x.shape[1] ** 2)
+    block = max(1, CELLS // x.shape[1])  # templates at once of a window that has more pairs than cells
     for lo in range(0, len(x), step):
         y = x[lo : lo + step]
-        near = np.abs(y[:, :, None] - y[:, None, :]) <= tolerance[lo : lo + step, None, None]
-        two = near[:, :-2, :-2] & near[:, 1:-1, 1:-1]
         known = ~np.isnan(y[:, 2:])  # the same templates for both lengths
-        two &= known[:, :, None] & known[:, None, :]
-        self_matches = known.sum(1)
-        m2 = two.sum((1, 2)) - self_matches
-        m3 = (two & near[:, 2:, 2:]).sum((1, 2)) - self_matches
+        m2 = m3 = -known.sum(1)  # self-matches
+        for at in range(0, known.shape[1], block):
+            near = np.abs(y[:, at : at + block + 2, None] - y[:, None, :]) <= tolerance[lo : lo + step, None, None]
+            two = near[:, :-2, :-2] & near[:, 1:-1, 1:-1]
+            two &= known[:, at : at + block, None] & known[:, None, :]
+            m2 = m2 + two.sum((1, 2))
+            m3 = m3 + (two & near[:, 2:, 2:]).sum((1, 2))
         out[lo : lo + step] = np.where(m2 > 0, -np.log(np.maximum(m3, 1) / np.maximum(m2, 1)), 0.0)
     return np.where((n >= 4) & (tolerance > 0), out, 0.0) + 0.0
 
@@ -108,6 +113,13 @@ def rhythm_features(ibis: np.ndarray, least: int = LEAST_IBIS, limits: tuple[flo
         return n, np.where((n >= least)[:, None], np.stack(values, 1), np.nan)
 
 
+def _middle(x: np.ndarray, least: int) -> np.ndarray:
+    """Median of the known values along the last axis; NaN where fewer than `least` are."""
+    s, n = np.sort(x, -1), (~np.isnan(x)).sum(-1)  # NaN comes last
+    at = lambda k: np.take_along_axis(s, k[..., None], -1)[..., 0]
+    return np.where(n >= least, (at(np.maximum(n - 1, 0) // 2) + at(np.minimum(n // 2, x.shape[-1] - 1))) / 2, np.nan)
+
+
 def extra_of(ibis: np.ndarray, prematurity: float = PREMATURITY, recovery: float = RECOVERY, context: int = CONTEXT) -> tuple[np.ndarray, np.ndarray]:
     """(extra, median) over beats 1 .. of each row of intervals: whether the beat that ends an interval comes early and is
     followed by a pause, and the median of up to `context` intervals on either side of the two beside it."""
@@ -116,10 +128,12 @@ def extra_of(ibis: np.ndarray, prematurity: float = PREMATURITY, recovery: float
         return np.zeros(ibis.shape, bool), np.full(ibis.shape, np.nan)
     wide = np.pad(ibis, ((0, 0), (context, context)), constant_values=np.nan)
     around = np.lib.stride_tricks.sliding_window_view(wide, 2 * context + 2, axis=1)
-    around = np.delete(around, [context, context + 1], axis=2)
-    with warnings.catch_warnings(), np.errstate(invalid="ignore"):
-        warnings.simplefilter("ignore", RuntimeWarning)
-        median = np.where((~np.isnan(around)).sum(2) >= 3, np.nanmedian(around, axis=2), np.nan)
+    beside = np.delete(np.arange(2 * context + 2), [context, context + 1])
+    median = np.full((len(ibis), n - 1), np.nan)
+    block = max(1, CELLS // (2 * context * max(len(ibis), 1)))
+    for at in range(0, n - 1, block):
+        median[:, at : at + block] = _middle(around[:, at : at + block, beside], 3)
+    with np.errstate(invalid="ignore"):
         beats = (~np.isnan(ibis)).sum(1) + 1
         hit = (ibis[:, :-1] < (1 - prematurity) * median) & (ibis[:, 1:] > recovery * median) & (beats >= 5)[:, None]
     pad = lambda x, v: np.pad(x, ((0, 0), (0, 1)), constant_values=v)
@@ -160,6 +174,19 @@ def beat_windows(beats: DataFrame, width: float, *kept: Column, t: Column | str
     return g.where((F.col("win") + 1) * width < F.col("last")).withColumn("beats", F.col("b.t")).drop("b", "last")
 
 
+def parts(batch: pa.RecordBatch, column: str):
+    """(rows, arrays): runs of a batch's rows whose arrays, padded to the longest, have VALUES values at most (or one row), so
+    what a task holds beside its Arrow batch doesn't grow with the rows or with what they hold."""
+    size = pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    at, most = 0, 4096
+    while at < batch.num_rows:
+        cells = np.maximum.accumulate(size[at : at + most]) * np.arange(1, len(size[at : at + most]) + 1)
+        n = max(int(np.searchsorted(cells, VALUES, side="right")), 1)
+        rows = batch.slice(at, n)
+        yield rows, [np.asarray([] if v is None else v, float) for v in rows.column(column).to_pylist()]
+        at += n
+
+
 def _map(windows: DataFrame, column: str, out: list[tuple[str, str]], f) -> DataFrame:
     """windows without `column`, with the columns that f gives for a list of its arrays."""
     rest = [c for c in windows.columns if c != column]
@@ -226,12 +253,12 @@ def removal_rows(windows: DataFrame, settings: dict[str, tuple[float, float | No
 
     def run(batches):
         k = len(named)
-        for batch in batches:
-            setting, n_extra, removed, n, f = score([np.asarray([] if v is None else v, float) for v in batch.column("beats").to_pylist()])
+        for part, values in (x for batch in batches for x in parts(batch, "beats")):
+            setting, n_extra, removed, n, f = score(values)
             flat = lambda x: [z for y in x for z in y]
-            at = pa.array(np.repeat(np.arange(batch.num_rows), k))
+            at = pa.array(np.repeat(np.arange(part.num_rows), k))
             features = np.array(flat(f)).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in rest), pa.array(flat(setting), pa.string()), pa.array(flat(n_extra), pa.int64()), pa.array([bool(x) for x in flat(removed)]), pa.array(flat(n), pa.int64()), *(_column(v, "double") for v in features.T)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in rest), pa.array(flat(setting), pa.string()), pa.array(flat(n_extra), pa.int64()), pa.array([bool(x) for x in flat(removed)]), pa.array(flat(n), pa.int64()), *(_column(v, "double") for v in features.T)], names=schema.names)
 
     return windows.mapInArrow(run, schema).where(F.col("nrmssd").isNotNull())
 

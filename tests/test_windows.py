@@ -120,3 +120,37 @@ def test_empty_tables(spark):
     assert windows.window_rows(windows.beat_windows(beats, 30)).collect() == []
     assert windows.removal_rows(windows.beat_windows(beats, 30), {"cap20": (0.2, None)}).collect() == []
     assert windows.signal_windows(spark.createDataFrame([], "rec string, i int, v double"), 30.0, 30.0).collect() == []
+
+
+def test_surroundings_and_pairs_of_long_windows_take_bounded_memory():
+    import tracemalloc
+
+    ibis = np.random.default_rng(1).uniform(0.3, 2.0, (2, 6000))
+    short = ibis[:, :700]
+    tracemalloc.start()
+    windows.extra_of(np.repeat(ibis, 20, axis=0))
+    windows.rhythm_features(ibis)
+    assert tracemalloc.get_traced_memory()[1] < 120e6
+    tracemalloc.stop()
+    whole = windows.extra_of(short), windows.rhythm_features(short)
+    cells, windows.CELLS = windows.CELLS, 5000  # blocks of a few columns give the same
+    try:
+        again = windows.extra_of(short), windows.rhythm_features(short)
+    finally:
+        windows.CELLS = cells
+    for a, b in zip(whole, again, strict=True):
+        for x, y in zip(a, b, strict=True):
+            np.testing.assert_array_equal(x, y)
+    around = np.delete(short[0, :18], [8, 9])
+    assert whole[0][1][0, 8] == np.median(around)
+
+
+def test_rows_are_scored_in_bounded_parts():
+    import pyarrow as pa
+
+    lengths = [3, 5] * 5000 + [100_000, 0, 7]
+    batch = pa.record_batch({"x": pa.array([None if n == 7 else [0.5] * n for n in lengths], pa.list_(pa.float64())), "n": lengths})
+    got = list(windows.parts(batch, "x"))
+    assert [n for rows, _ in got for n in rows.column("n").to_pylist()] == lengths
+    assert [len(v) for _, values in got for v in values] == [0 if n == 7 else n for n in lengths]
+    assert max(len(v) * max(map(len, v)) for _, v in got if len(v) > 1) <= windows.VALUES
