@@ -193,9 +193,9 @@ def _map(windows: DataFrame, column: str, out: list[tuple[str, str]], f) -> Data
     schema = T.StructType([*(windows.schema[c] for c in rest), *T.StructType.fromDDL(", ".join(f"{n} {k}" for n, k in out)).fields])
 
     def run(batches):
-        for batch in batches:
-            made = f([np.asarray([] if v is None else v, float) for v in batch.column(column).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *(_column(v, k) for v, (_, k) in zip(made, out, strict=True))], names=[*rest, *(n for n, _ in out)])
+        for part, values in (x for batch in batches for x in parts(batch, column)):
+            made = f(values)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), *(_column(v, k) for v, (_, k) in zip(made, out, strict=True))], names=[*rest, *(n for n, _ in out)])
 
     return windows.mapInArrow(run, schema)
 

@@ -154,3 +154,9 @@ def test_rows_are_scored_in_bounded_parts():
     assert [n for rows, _ in got for n in rows.column("n").to_pylist()] == lengths
     assert [len(v) for _, values in got for v in values] == [0 if n == 7 else n for n in lengths]
     assert max(len(v) * max(map(len, v)) for _, v in got if len(v) > 1) <= windows.VALUES
+
+
+def test_mapped_windows_come_in_bounded_parts(spark):
+    rows = spark.range(4000, numPartitions=1).selectExpr("id", "transform(sequence(1, 50), x -> x * 0.8) AS t")
+    got = windows._map(rows, "t", [("held", "long")], lambda values: [[len(values) * 50] * len(values)]).collect()
+    assert len(got) == 4000 and max(r["held"] for r in got) <= windows.VALUES
