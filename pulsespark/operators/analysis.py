@@ -88,6 +88,16 @@ def _packed(rows: DataFrame, columns: list[str], *keys: str) -> DataFrame:
     return g.select(*keys, F.concat(*[F.col(f"s.{c}") for c in columns]).alias("values"))
 
 
+def _same_length(values: list[np.ndarray], f) -> list[np.ndarray]:
+    """f(signals, time) of all signals of a length at once, in the order of the signals."""
+    out, sizes = [None] * len(values), np.array([len(x) for x in values])
+    for n in np.unique(sizes):
+        at = np.flatnonzero(sizes == n)
+        for k, y in zip(at, f(np.stack([values[k] for k in at])), strict=True):
+            out[k] = y
+    return out
+
+
 def _filled(x: np.ndarray) -> np.ndarray:
     """Straight lines over gaps along the last axis; rows without a value become 0."""
     at = np.arange(x.shape[-1])
@@ -100,41 +110,55 @@ def _filled(x: np.ndarray) -> np.ndarray:
 
 
 def patch_pulses(colours: DataFrame, fs: float, method: str = "pos", min_valid: float = 0.5) -> DataFrame:
-    """colours(rec, patch, i, r, g, b) -> (rec, patch, i, v): the detrended, band-passed pulse of each patch that is known in
+    """colours(rec, patch, i, r, g, b), or packed as `without_motion` gives them -> (rec, patch, i, v): the detrended, band-passed pulse of each patch that is known in
     at least min_valid of its samples. Samples of a record are numbered from 0 without gaps."""
 
     def pulse(values):
-        out = []
-        for x in values:
+        out, raws = [None] * len(values), {}
+        for k, x in enumerate(values):
             rgb = x.reshape(3, -1)
             if np.isfinite(rgb).all(0).mean() < min_valid:
-                out.append(None)
                 continue
             rgb = _filled(rgb).T
-            raw = -(rgb[:, 1] / (rgb[:, 1].mean() or 1) - 1) if method == "green" else getattr(kernels, method)(rgb, fs)
-            out.append(kernels.bandpass(kernels.detrend(raw[None, :]), fs)[0].tolist())
+            raws[k] = -(rgb[:, 1] / (rgb[:, 1].mean() or 1) - 1) if method == "green" else getattr(kernels, method)(rgb, fs)
+        for k, y in zip(raws, _same_length(list(raws.values()), lambda x: kernels.bandpass(kernels.detrend(x), fs)), strict=True):
+            out[k] = y.tolist()
         return [out]
 
-    got = _map(_packed(colours, ["r", "g", "b"], "rec", "patch"), "values", [("pulse", "array<double>")], pulse)
+    packed = colours if "values" in colours.columns else _packed(colours, ["r", "g", "b"], "rec", "patch")
+    got = _map(packed, "values", [("pulse", "array<double>")], pulse)
     return got.where("pulse IS NOT NULL").select("rec", "patch", F.posexplode("pulse").alias("i", "v"))
 
 
 def without_motion(colours: DataFrame, motion: DataFrame, fs: float, length: int, channels: int) -> DataFrame:
-    """colours(rec, patch, i, r, g, b) less what motion explains of each normalized colour, band-passed, in windows."""
-    long = colours.select("rec", "patch", "i", F.explode(F.array(*[F.struct(F.lit(c).alias("colour"), F.col(c).alias("c")) for c in "rgb"])).alias("x")).select("rec", F.struct("patch", "x.colour").alias("patch"), "i", "x.c")
+    """colours(rec, patch, i, r, g, b) less what motion explains of each normalized colour, band-passed, in windows: packed as
+    (rec, patch, values), three colours one after another, NaN where unknown. As `fusion.remove_motion_from_colour`, but a
+    patch is one row with its record's regressors beside it, so samples are not copied to their windows in shuffles."""
+    packed = _packed(colours, ["r", "g", "b"], "rec", "patch")
+    sizes = packed.groupBy("rec").agg(F.max(F.size("values") / 3).alias("_n"))
+    m = motion.groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("i", "x", "active"))).alias("s"))
+    flat = F.concat(F.flatten(F.col("s.x")), F.transform(F.flatten(F.col("s.active")), lambda a: a.cast("double")))
+    m = m.join(sizes, "rec").select("rec", F.concat(flat, F.array(F.size("s").cast("double"), F.col("_n"))).alias("_m"))
+    rows = packed.join(m, "rec").select("rec", "patch", F.concat("values", "_m").alias("values"))
 
-    def normal(values):
-        x = [_filled(v[None, :])[0] for v in values]
-        mean = [float(v.mean()) if v.mean() else 1.0 for v in x]
-        v = [a / m - 1 for a, m in zip(x, mean, strict=True)]
-        return [[a.tolist() for a in v], [kernels.bandpass(a, fs)[0].tolist() for a in v], mean]
-
-    n = _map(_packed(long, ["c"], "rec", "patch"), "values", [("v", "array<double>"), ("y", "array<double>"), ("mean", "double")], normal)
-    rows = n.select("rec", "patch", "mean", F.posexplode(F.arrays_zip("v", "y")).alias("i", "z")).select("rec", "patch", "mean", F.col("i").cast("long").alias("i"), "z.v", "z.y")
-    left = fusion.remove_motion_from_colour(rows.drop("mean"), motion, fs, length, channels)
-    back = left.join(n.select("rec", "patch", "mean"), ["rec", "patch"]).withColumn("c", (1 + F.col("v")) * F.col("mean"))
-    one = lambda c: F.max(F.when(F.col("patch.colour") == c, F.col("c"))).alias(c)
-    return back.groupBy("rec", F.col("patch.patch").alias("patch"), "i").agg(one("r"), one("g"), one("b"))
+    def clean(values):
+        rgb, made = [], []
+        for x in values:
+            m, n = int(x[-2]), int(x[-1])
+            at = len(x) - 2 - 2 * m * channels
+            colour = _filled(x[:at].reshape(3, -1))
+            mean = np.where(colour.mean(1) != 0, colour.mean(1), 1.0)
+            rgb += list(colour / mean[:, None] - 1)
+            made.append((mean[:, None], x[at : at + m * channels].reshape(m, channels), x[at + m * channels : -2].reshape(m, channels), min(m, n)))
+        y = _same_length(rgb, lambda v: kernels.bandpass(v, fs))
+        out = []
+        for k, (mean, regressors, active, n) in enumerate(made):
+            size = min(len(regressors), len(rgb[3 * k]))
+            v, z = np.stack(rgb[3 * k : 3 * k + 3])[:, :size], np.stack(y[3 * k : 3 * k + 3])[:, :size]
+            out.append(((1 + v - fusion.explained_in_windows(z, regressors[:size], active[:size], n, length)) * mean).ravel().tolist())
+        return [out]
+
+    return _map(rows, "values", [("_left", "array<double>")], clean).withColumnRenamed("_left", "values")
 
 
 def _kept(rows: DataFrame) -> DataFrame:

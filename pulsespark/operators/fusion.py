@@ -94,13 +94,14 @@ def maxima(x: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- fusion
 
 
-def window_weights(seg: np.ndarray, base: np.ndarray, find, apart: float | None = BEAT_APART, power: float = 2.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def window_weights(seg: np.ndarray, base: np.ndarray, find, apart: float | None = BEAT_APART, power: float = 2.0, find_all=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(weights, consistency, agreement) of the patches of a window: seg (time, patches) of unit deviation, base weights.
 
-    find gives the times of a signal's beats. Consistency is the correlation with the weighted sum of all others (0 to 1), agreement the share of beats that match
+    find gives the times of a signal's beats, find_all (if given) those of each of many signals (signals, time). Consistency is the correlation with the weighted sum of all others (0 to 1), agreement the share of beats that match
     those of the others. Where they leave no weight, the base does.
     """
     n = seg.shape[1]
+    find_all = find_all or (lambda x: [find(y) if y.any() else np.zeros(0) for y in x])
     if n < 2:
         return np.ones(n), np.ones(n), np.ones(n)
     share = base / base.sum()
@@ -112,10 +113,11 @@ def window_weights(seg: np.ndarray, base: np.ndarray, find, apart: float | None
     if apart is not None:
         share = weights / weights.sum() if weights.sum() > 0 else share
         total = seg @ share
-        for k in range(n):
-            other = total - share[k] * seg[:, k]
-            own, theirs = (find(x) if x.any() else np.zeros(0) for x in (seg[:, k], other))
-            agreement[k] = 2 * match_count(own, theirs, apart) / max(len(own) + len(theirs), 1)
+        for at in range(0, n, 256):
+            own = seg[:, at : at + 256].T
+            others = total - share[at : at + 256, None] * own
+            for k, (a, b) in enumerate(zip(find_all(own), find_all(others), strict=True), at):
+                agreement[k] = 2 * match_count(a, b, apart) / max(len(a) + len(b), 1)
         weights = weights * agreement
     return (weights if weights.sum() > 0 else base) / (weights if weights.sum() > 0 else base).sum(), consistency, agreement
 
@@ -129,6 +131,7 @@ def fuse_windows(samples: DataFrame, fs: float, length: int, step: int, apart: f
     that count weigh alike. A window without any gives no row. `find` (signal -> times in seconds) may stand for the usual
     search of beats; apart=None leaves agreement out, power=0 consistency. One shuffle, by (record, window).
     """
+    find_all = None if find else (lambda x: kernels.detect_all(x, fs))
     find = find or (lambda x: kernels.detect_beats(x, fs))
     optional = [c for c in ("facing", "luma") if c in samples.columns]
     rows = sliding(samples.select("rec", "patch", "i", "v", *optional), length, step)
@@ -161,7 +164,7 @@ def fuse_windows(samples: DataFrame, fs: float, length: int, step: int, apart: f
             base = base * (np.where(m < FACING_MIN, 0.0, m) if c == "facing" else np.clip((m - DARK[0]) / (DARK[1] - DARK[0]), 0, 1) * (1 - np.clip((m - BRIGHT[0]) / (BRIGHT[1] - BRIGHT[0]), 0, 1)))
         if base.sum() <= 0:
             base = use.astype(float)
-        w, consistency, agreement = window_weights(seg, base, find, apart, power)
+        w, consistency, agreement = window_weights(seg, base, find, apart, power, find_all)
         fused = seg @ w
         agreed = float((w * consistency).sum()) if len(names) > 1 else 1.0
         coverage = min(1.0, 1 / float((w**2).sum()) / max(1.0, ENOUGH_PATCHES * len(names)))
@@ -272,6 +275,31 @@ def remove_explained(rows: DataFrame, y: list[str], x: list[str], *keys: str, ri
     return fitted.withColumns({c: F.when(known, F.col(c) - explained(j)).otherwise(F.col(c)) for j, c in enumerate(y)}).drop("_mean", "_beta")
 
 
+def explained_in_windows(y: np.ndarray, x: np.ndarray, active: np.ndarray, n: int, length: int, ridge: float = RIDGE) -> np.ndarray:
+    """What the regressors x (time, columns) explain of the signals y (signals, time), in half-overlapping windows of a record of
+    n samples, overlap-added: `remove_motion_from_colour` for arrays."""
+    length = min(length, n)
+    step, last = max(1, length // 2), n - length
+    taken, total = np.zeros_like(y), np.zeros(y.shape[1])
+    h = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(1, length + 1) / (length + 1))
+    for start in [*range(0, last + 1, step), *([last] if last % step else [])]:
+        a, b = x[start : start + length], y[:, start : start + length]
+        if not len(a):
+            continue
+        d = a - a.mean(0)
+        cov = d.T @ d / len(a)
+        deviation = np.sqrt(np.diagonal(cov))
+        use = (active[start : start + length].mean(0) >= 0.5) & (deviation > 1e-9)
+        total[start : start + length] += h[: len(a)]
+        if not use.any():
+            continue
+        scale = np.where(use, 1 / np.where(use, deviation, 1), 0)
+        z = cov * scale[:, None] * scale + ridge * np.eye(len(scale))
+        beta = np.linalg.solve(z, d.T @ (b - b.mean(1)[:, None]).T / len(a) * scale[:, None]) * scale[:, None]
+        taken[:, start : start + length] += (d @ beta).T * h[: len(a)]
+    return taken / np.maximum(total, 1e-9)
+
+
 def overlap_add(windows: DataFrame, value: str = "v") -> DataFrame:
     """(rec, i, v) of windows(rec, start, i, length, v): sums under a Hann window without its zero ends, over its sum."""
     h = 0.5 - 0.5 * F.cos(F.lit(2 * np.pi) * (F.col("i") - F.col("start") + 1) / (F.col("length") + 1))

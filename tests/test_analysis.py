@@ -120,3 +120,31 @@ def test_short_and_dark_colours():
     rgb = 100 * (1 - np.outer(np.sin(2 * np.pi * 1.5 * t), [0.002, 0.006, 0.003]))
     assert np.abs(kernels.pos(rgb, 30.0)).max() > 0 and np.abs(kernels.chrom(rgb, 30.0)).max() > 0
     assert (kernels.pos(np.zeros((60, 3)), 30.0) == 0).all() and (kernels.chrom(np.zeros((60, 3)), 30.0) == 0).all()
+
+
+def test_motion_of_packed_patches_as_by_rows(spark):
+    from pulsespark.operators import fusion
+
+    r = np.random.default_rng(5)
+    n, length = 101, 48
+    pose = spark.createDataFrame([(1, [(np.cumsum(r.normal(0, 2, n))).tolist(), (r.normal(0, 3, n)).tolist()])], "rec long, channels array<array<double>>")
+    motion = fusion.motion_regressors(pose, 30.0)
+    y, v = r.normal(0, 1, (2, n)), r.normal(0, 1, (2, n))
+    rows = spark.createDataFrame([(1, k, i, float(y[k, i]), float(v[k, i])) for k in range(2) for i in range(n)], "rec long, patch long, i long, y double, v double")
+    want = {(x["patch"], x["i"]): x["v"] for x in fusion.remove_motion_from_colour(rows, motion, 30.0, length, 4).collect()}
+    m = motion.orderBy("i").collect()
+    got = v - fusion.explained_in_windows(y, np.array([x["x"] for x in m]), np.array([x["active"] for x in m], float), n, length)
+    assert len(want) == 2 * n and np.abs(got - v).max() > 0.05
+    assert np.allclose(got, [[want[k, i] for i in range(n)] for k in range(2)], atol=1e-9)
+
+
+def test_beats_and_rates_of_many_signals_as_one_by_one():
+    from pulsespark.functions import kernels
+
+    x = np.random.default_rng(6).normal(0, 1, (600, 48))
+    x[7] = 0
+    many = kernels.detect_all(x, 30.0)
+    assert len(many[7]) == 0 and all(np.array_equal(a, kernels.detect_beats(y, 30.0)) for a, y in zip(many, x, strict=True))
+    f, p = kernels.power_spectrum(x, 30.0)
+    inside = (f >= kernels.PULSE_BAND[0]) & (f <= kernels.PULSE_BAND[1])
+    assert np.array_equal(np.delete(kernels.peak_rate(x, 30.0), 7), np.delete(60 * f[inside][p[:, inside].argmax(axis=1)], 7))
