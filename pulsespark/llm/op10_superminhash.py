@@ -17,6 +17,8 @@ SLOTS = BANDS * ROWS
 BITS = 52
 #: Bytes of a shingle in the sets that links are confirmed on: two shingles of a pair coincide by chance once in 10^12.
 SET_BYTES = 5
+#: Bytes of text whose sets and signatures are built at a time.
+PART_BYTES = 1 << 18
 #: Rows of a bucket, and bytes of their sets, that one task compares with as many others.
 BLOCK, BLOCK_BYTES = 2048, 8 << 20
 #: Document ids that a semi join broadcasts at most; beyond it the join shuffles.
@@ -82,7 +84,7 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", band
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "t"):
+            for part in slices(batch, "t", PART_BYTES):
                 elements, cuts = shingle_sets(*utf8(part.column("t")))
                 n, size = part.num_rows, np.diff(cuts)
                 sig = superminhash(elements, cuts, bands * rows)
@@ -108,7 +110,7 @@ def packed_sets(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "t"):
+            for part in slices(batch, "t", PART_BYTES):
                 elements, cuts = shingle_sets(*utf8(part.column("t")))
                 raw = (elements << U64(64 - BITS)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :SET_BYTES]
                 yield pa.RecordBatch.from_arrays([part.column("d"), pa.array([raw[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["d", "set"])

@@ -18,6 +18,8 @@ ALPHA = 0.5
 PER_LANGUAGE = 8000
 #: Most bytes of the broadcast matrix; beyond it fewer buckets are used.
 MATRIX_BYTES = 64 << 20
+#: Bytes of text whose n-grams are held at a time (some 100 bytes for each character).
+PART_BYTES = 1 << 18
 UNDETERMINED = "und"
 
 
@@ -71,7 +73,7 @@ def train(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str
     def count(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in slices(batch, "t"):
+            for part in slices(batch, "t", PART_BYTES):
                 langs, texts = np.array(part.column("l").to_pylist(), object), part.column("t").to_pylist()
                 for one in set(langs.tolist()):
                     have = sums.setdefault(one, np.zeros(buckets + 1, np.int64))
@@ -120,7 +122,7 @@ def detect(docs: DataFrame, model: Model | None, text: str = "text", lang_out: s
     def run(batches):
         model = shared.value
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, PART_BYTES):
                 texts = [t or "" for t in part.column(text).to_pylist()]
                 ok = np.array([model is not None and any(map(str.isalpha, t)) for t in texts], bool)
                 langs, scores = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))

@@ -24,6 +24,8 @@ SHORT = 12
 #: Items of a block with its own maximum; bytes of item texts that one index holds (and is broadcast with) at most.
 BLOCK_ITEMS = 32
 INDEX_BYTES = 16 << 20
+#: Bytes of text that decontaminate() searches at a time, fewer than usual, as its worker stays beside those of other stages.
+PART_BYTES = 1 << 18
 WINDOW = 64
 
 
@@ -261,7 +263,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
         def run(batches, shared=shared):
             index = shared.value
             for batch in batches:
-                for part in slices(batch, text):
+                for part in slices(batch, text, PART_BYTES):
                     clean = np.ones(part.num_rows, bool)
                     clean[[hit[0] for hit in search(index, *utf8(pc.utf8_lower(part.column(text))))]] = False
                     if clean.any():

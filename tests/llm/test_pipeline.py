@@ -43,3 +43,30 @@ def test_each_stage_on_its_input(spark, tmp_path):
 def test_run(spark):
     got = p.run(spark, SF)
     assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and got.count() > 50
+
+
+def test_stages_hold_little_text_at_a_time(spark, monkeypatch):
+    """What workers of language, signatures and decontamination allocate for 4 MB of text that come in one Arrow batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from pulsespark.llm import op3_language, op9_bm25, op10_superminhash
+
+    docs = spark.createDataFrame([(i, f"some words of document {i} " * 9, "en") for i in range(40)], "doc_id long, text string, lang string")
+    model, runs = op3_language.train(docs), []
+    items = spark.createDataFrame([(1, "is this an item? it has an answer.")], "item_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: (runs.append(f), self)[1])
+    op3_language.detect(docs, model)
+    op9_bm25.decontaminate(docs, items)
+    op10_superminhash.packed_sets(docs.selectExpr("doc_id as d", "text as t"))
+    texts = [" ".join(f"w{i}x{j}" for j in range(400)) for i in range(1300)]
+    batch = pa.record_batch({"d": pa.array(range(1300)), "text": texts, "t": texts})
+    assert len(runs) == 3 and batch.column("t").nbytes > 4_000_000
+    for run in runs:
+        tracemalloc.start()
+        for _ in run(iter([batch])):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 50_000_000, peak
