@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsespark.llm._common import BASE, BASE_INV, bounded_batches, U64, documents, mix, partitions_for, powers, shared_dir, shingle_hashes, slices, span_hashes, stored, text_stats, utf8, words
+from pulsespark.llm._common import BASE, BASE_INV, bounded_batches, U64, documents, mix, partitions_for, powers, ragged, shared_dir, shingle_hashes, slices, span_hashes, stored, text_stats, utf8, words
 
 SHINGLE = 5
 #: Words of a passage at least, and its tokens.
@@ -26,7 +26,7 @@ SIMILARITY = 80
 #: Bands and functions of a band: a passage of similarity 0.8 and 50 words is missed in all of them once in 150 times,
 #: a longer one less often.
 BANDS, ROWS = 7, 3
-#: Text whose windows leave a task together, and of them text hashed at a time; text whose windows meet in one bucket, and buckets at least (a pair of documents
+#: Text whose windows leave a task together, and of them text hashed (or held against another) at a time; text whose windows meet in one bucket, and buckets at least (a pair of documents
 #: has a row for each bucket that its collisions lie in).
 SLICE_BYTES, PART_BYTES = 2 << 20, 1 << 18
 BUCKET_BYTES, BUCKETS = 24 << 20, 32
@@ -36,6 +36,9 @@ BROADCAST_ROWS = 1 << 20
 PARTNERS, BLOCK = 256, 2048
 #: Keys of few places that one task call takes.
 BIN_KEYS = 128
+#: Places of whole keys whose tokens a task holds side by side (or one key's); a key's places that are compared in all pairs at
+#: once, and pairs of places looked at together.
+PLACES, FEW_PLACES, PAIR_ROWS = 1024, 32, 1024
 #: Bytes of a token in the surroundings of a place.
 TOKEN_BYTES = 5
 #: A collision: its key and its place in the document of larger id.
@@ -70,15 +73,16 @@ def function_hashes(token: np.ndarray, function: int) -> np.ndarray:
     return (((token ^ seed[0]) * (seed[1] | U64(1))) >> U64(32)).astype(np.uint32) & ~np.uint32(63)
 
 
-def compact_windows(token: np.ndarray, cuts: np.ndarray, function: int, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compact_windows(token: np.ndarray, cuts: np.ndarray, function: int, window: int = WINDOW, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(low, c, high) of all nodes (a, c, b) of the texts' Cartesian trees with b - a + 1 >= window, by place: the passages of
     `window` tokens in the node's compact window begin in low = max(a, c - window + 1) .. high = min(c, b - window + 1).
 
     The least of every `window` neighbours runs through exactly these nodes from left to right, so the tree is read off
     it. Of equal hashes the one whose place has the least remainder by 64 is on top (window is 64 at most, so one is).
+    start: _starts of the same texts, where it is known.
     """
     n = len(token)
-    start = _starts(cuts, window)
+    start = _starts(cuts, window) if start is None else start
     if not len(start):
         return (np.zeros(0, np.int64),) * 3
     least = function_hashes(token, function)
@@ -101,10 +105,11 @@ def bands(token: np.ndarray, cuts: np.ndarray, n_bands: int = BANDS, rows: int =
     The intervals low .. high of a function follow one another without gaps, so their join is a merge of where they begin.
     """
     text, place, keys = [], [], []
+    start = _starts(cuts, window)
     for band in range(n_bands):
         nodes = []
         for r in range(rows):
-            nodes.append(compact_windows(token, cuts, 40 + rows * band + r, window)[:2])
+            nodes.append(compact_windows(token, cuts, 40 + rows * band + r, window, start)[:2])
         lows = np.sort(np.concatenate([lo for lo, _ in nodes]))
         lows = lows[_heads(lows)]
         tops = [c[np.searchsorted(lo, lows, side="right") - 1] for lo, c in nodes]
@@ -157,7 +162,13 @@ def _collisions(entries: DataFrame) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         key = np.frombuffer(b"".join(table.column("keys").to_pylist()), "<i8")
         place = np.frombuffer(b"".join(table.column("places").to_pylist()), "<u4").astype(np.int64)
-        doc = np.concatenate([np.repeat(np.array(d, np.int64), np.array(c, np.int64)) for d, c in zip(table.column("docs").to_pylist(), table.column("counts").to_pylist(), strict=True)])
+        doc = np.repeat(*(table.column(c).combine_chunks().flatten().to_numpy() for c in ("docs", "counts")))
+        # keys that stand once collide with nothing, so only the others are put in order of document and place
+        order = np.argsort(key)
+        heads = _heads(key[order])
+        sizes = np.diff(np.append(heads, len(key)))
+        order = order[np.repeat(sizes > 1, sizes)]
+        key, place, doc = key[order], place[order], doc[order]
         order = np.lexsort((place, doc, key))
         key, place, doc = key[order], place[order], doc[order]
         heads = _heads(key)
@@ -200,10 +211,15 @@ def _rising(values: np.ndarray) -> np.ndarray:
     return np.array(out[::-1], np.int64)
 
 
+def _distinct(values: np.ndarray) -> int:
+    ranked = np.sort(values)
+    return int((ranked[1:] != ranked[:-1]).sum()) + 1 if len(ranked) else 0
+
+
 def _similarity(sx: np.ndarray, sy: np.ndarray) -> tuple[int, int]:
-    sx, sy = np.unique(sx), np.unique(sy)
-    both = len(np.intersect1d(sx, sy, assume_unique=True))
-    return both, len(sx) + len(sy) - both
+    """Sizes of the intersection and the union of two sets of tokens."""
+    union = _distinct(np.concatenate([sx, sy]))
+    return _distinct(sx) + _distinct(sy) - union, union
 
 
 def _padded(lo: int, hi: int, n: int, window: int) -> tuple[int, int]:
@@ -283,14 +299,17 @@ def _places(tx: np.ndarray, ty: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return j, i
 
 
-def _by_sets(tx: np.ndarray, ty: np.ndarray, covered: np.ndarray, percent: int, window: int) -> list[tuple[int, int, int, int]]:
+def _by_sets(tx: np.ndarray, ty: np.ndarray, shared: np.ndarray, covered: np.ndarray, percent: int, window: int) -> list[tuple[int, ...]]:
     """Boxes where tokens stand in another order: of places of y not covered, the `window` neighbours that x has most of,
-    with the neighbours of x that have most of them, grown while that holds the similarity."""
+    with the neighbours of x that have most of them, grown while that holds the similarity. shared: the places of y whose
+    token x has."""
     out = []
     free = ~covered
     if (100 + percent) * free.sum() < 2 * percent * window:
         return out
-    free &= np.isin(ty, tx)
+    had = np.zeros(len(ty), bool)
+    had[shared] = True
+    free &= had
     while True:
         total = np.concatenate([[0], np.cumsum(free)])
         got = total[window:] - total[:-window]
@@ -304,17 +323,18 @@ def _by_sets(tx: np.ndarray, ty: np.ndarray, covered: np.ndarray, percent: int,
         b, d = a + window, c + window
         both, union = _similarity(tx[a:b], ty[c:d])
         if 100 * both >= percent * union:
-            out.append((a, b, c, d))
+            out.append((a, b, c, d, both, union))
         free[c:d] = False
 
 
-def passages(tx: np.ndarray, ty: np.ndarray, percent: int = SIMILARITY, window: int = WINDOW) -> list[tuple[int, int, int, int]]:
-    """(a, b, c, d): tokens a to b of x and c to d of y whose sets hold the similarity, all that can be aligned.
+def passages(tx: np.ndarray, ty: np.ndarray, percent: int = SIMILARITY, window: int = WINDOW) -> list[tuple[int, ...]]:
+    """(a, b, c, d, both, union): tokens a to b of x and c to d of y whose sets hold the similarity, all that can be aligned,
+    and the sizes of the sets' intersection and union.
 
     Matches are put in the order of both texts, and runs of them taken, longest first; what is left is aligned again until
     nothing is found, so passages that stand in another order are found too. Last come stretches by sets.
     """
-    out: list[tuple[int, int, int, int]] = []
+    out: list[tuple[int, ...]] = []
     jx, iy = _places(tx, ty)
     covered = np.zeros(len(ty), bool)
     while True:
@@ -326,11 +346,11 @@ def passages(tx: np.ndarray, ty: np.ndarray, percent: int = SIMILARITY, window:
             c, d = _padded(int(iy[chain[s]]), int(iy[chain[e]]) + 1, len(ty), window)
             both, union = _similarity(tx[a:b], ty[c:d])
             if 100 * both >= percent * union:
-                out.append((a, b, c, d))
+                out.append((a, b, c, d, both, union))
                 covered[c:d] = found = True
         if not found:
             break
-    return out + _by_sets(tx, ty, covered, percent, window)
+    return out + _by_sets(tx, ty, iy, covered, percent, window)
 
 
 def near_passages_of(sx: np.ndarray, ox: np.ndarray, sy: np.ndarray, oy: np.ndarray, percent: int = SIMILARITY, window: int = WINDOW) -> tuple[np.ndarray, ...]:
@@ -344,7 +364,7 @@ def near_passages_of(sx: np.ndarray, ox: np.ndarray, sy: np.ndarray, oy: np.ndar
     pair = np.concatenate([np.repeat(np.arange(n), nx), np.repeat(np.arange(n), ny)])
     h = np.concatenate([sx, sy]) + mix(pair.astype(U64), 7)
     side = np.arange(len(h)) >= len(sx)
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     heads = _heads(h[order])
     counts = np.diff(np.append(heads, len(h)))
     on_y = np.add.reduceat(side[order].astype(np.int64), heads) if len(heads) else heads
@@ -355,7 +375,7 @@ def near_passages_of(sx: np.ndarray, ox: np.ndarray, sy: np.ndarray, oy: np.ndar
     whole = (100 * both >= percent * union) & (nx >= window) & (ny >= window)
     # places whose token the other side lacks, where it stands first (sets are compared)
     lacks = np.zeros(len(h), bool)
-    lacks[order[heads[~shared]]] = True
+    lacks[np.minimum.reduceat(order, heads)[~shared] if len(heads) else heads] = True
     least = np.zeros(n, np.int64)
     for lo, cuts in ((0, ox), (len(sx), oy)):
         total = np.concatenate([[0], np.cumsum(lacks[lo : lo + cuts[-1]])])
@@ -372,7 +392,7 @@ def near_passages_of(sx: np.ndarray, ox: np.ndarray, sy: np.ndarray, oy: np.ndar
     out = [np.column_stack([w, np.zeros(len(w), np.int64), nx[w], np.zeros(len(w), np.int64), ny[w], both[w], union[w]])]
     for i in np.flatnonzero(able & ~whole).tolist():
         tx, ty = sx[ox[i] : ox[i + 1]], sy[oy[i] : oy[i + 1]]
-        rows = [(i, *box, *_similarity(tx[box[0] : box[1]], ty[box[2] : box[3]])) for box in passages(tx, ty, percent, window)]
+        rows = [(i, *box) for box in passages(tx, ty, percent, window)]
         if rows:
             out.append(np.array(rows, np.int64))
     got = np.concatenate(out)
@@ -405,7 +425,7 @@ def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in (p for wide in slices(batch, "tx") for p in slices(wide, "ty")):
+            for part in (p for wide in slices(batch, "tx", PART_BYTES) for p in slices(wide, "ty", PART_BYTES)):
                 found = near_passages_of(*tokens(*utf8(part.column("tx"))), *tokens(*utf8(part.column("ty"))))
                 yield pa.RecordBatch.from_arrays(_found(part.column("x").to_numpy(), part.column("y").to_numpy(), found), names=names)
 
@@ -508,27 +528,66 @@ def _linked_within(rows: DataFrame, bins: int) -> DataFrame:
         fits = ((100 + SIMILARITY) * n >= SIMILARITY * sides) & valid[:, e]
         return fits.any(axis=1) | unordered
 
+    def able(local: np.ndarray, inside: np.ndarray, firsts: np.ndarray, plain: np.ndarray, rs: np.ndarray, vs: np.ndarray) -> np.ndarray:
+        """Which pairs of rows (rs ascending, vs) can have a passage; it makes no difference which of both comes first."""
+        outside = int(local[inside].max()) + 1
+        local = np.where(inside, local, outside)
+        good = []
+        for lo in range(0, len(rs), PAIR_ROWS):
+            r, v = rs[lo : lo + PAIR_ROWS], vs[lo : lo + PAIR_ROWS]
+            of = np.cumsum(np.append(0, r[1:] != r[:-1]))
+            own = r[_heads(r)]
+            at_of = np.full((len(own), outside + 1), -1, np.int16)
+            at_of[np.arange(len(own))[:, None], local[own]] = np.arange(width)
+            at_of[:, outside] = -1
+            at_first = np.zeros((len(own), outside + 1), np.int16)
+            row, column = np.nonzero(firsts[own])
+            at_first[row, local[own[row], column]] = column
+            at = at_of[of[:, None], local[v]]
+            common = ((at >= 0) & firsts[v]).sum(axis=1)
+            both = plain[v] & plain[r]
+            keep = np.flatnonzero((common >= least_both) | ((common > 0) & ~both))
+            at, common, both = at[keep], common[keep], both[keep]
+            lacks = lacking((at < 0) & firsts[v[keep]], inside[v[keep]]).astype(np.int64)
+            some = np.flatnonzero(SIMILARITY * lacks <= (100 - SIMILARITY) * common)
+            keep, at, common, both, lacks = keep[some], at[some], common[some], both[some], lacks[some]
+            mine = firsts[r[keep]]
+            row, column = np.nonzero(at >= 0)
+            mine[row, at_first[of[keep[row]], local[v[keep[row]], column]]] = False
+            lacks += lacking(mine, inside[r[keep]])
+            some = np.flatnonzero((lacks <= most) & (SIMILARITY * lacks <= (100 - SIMILARITY) * common))
+            keep, at, both = keep[some], at[some], np.flatnonzero(both[some])
+            fits = np.ones(len(keep), bool)
+            for k in range(0, len(both), 128):
+                fits[both[k : k + 128]] = possible(at[both[k : k + 128]])
+            good.append(lo + keep[fits])
+        return np.concatenate(good) if good else np.zeros(0, np.int64)
+
     def within(table: pa.Table) -> list[tuple]:
-        d, begin, own, free = (table.column(c).to_numpy() for c in ("d", "begin", "own", "free"))
+        """Of whole keys, one after another."""
+        key, d, begin, own, free = (table.column(c).to_numpy() for c in ("key", "d", "begin", "own", "free"))
         data, cuts = utf8(table.column("around"))
         lengths = np.diff(cuts) // TOKEN_BYTES
         ends = np.cumsum(lengths)
         starts = ends - lengths
         found: list[tuple] = []
+        heads = _heads(key)
+        group = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(key))))
         root = np.arange(len(d))
         settled = np.flatnonzero(~free)
-        if len(settled):
-            root[settled] = settled[0]
+        first = np.full(len(heads), len(d))
+        np.minimum.at(first, group[settled], settled)
+        root[settled] = first[group[settled]]
 
         wide = np.zeros((len(data) // TOKEN_BYTES, 8), np.uint8)
         wide[:, 8 - TOKEN_BYTES :] = data.reshape(-1, TOKEN_BYTES)
-        names, code = np.unique(wide.view(">u8").reshape(-1).astype(U64), return_inverse=True)
         owner = np.repeat(np.arange(len(d)), lengths)
+        names, code = np.unique(wide.view(">u8").reshape(-1).astype(U64) | group[owner].astype(U64) << U64(8 * TOKEN_BYTES), return_inverse=True)
         place = np.arange(len(code)) - starts[owner] + (WINDOW - 1 - own[owner])
         around = np.full((len(d), width), len(names), np.int32)
         around[owner, place] = code
         inside = around < len(names)
-        # where a token stands first in its row (sets are compared), and tokens that no other row has
+        # where a token stands first in its row (sets are compared), and tokens that no other row of the key has
         ranked = np.sort(around.astype(np.int64) * width + np.arange(width), axis=1)
         new = np.ones(ranked.shape, bool)
         new[:, 1:] = ranked[:, 1:] // width != ranked[:, :-1] // width
@@ -538,55 +597,58 @@ def _linked_within(rows: DataFrame, bins: int) -> DataFrame:
         plain = (firsts == inside).all(axis=1)
         lone = np.append(np.bincount(around[firsts], minlength=len(names)) < 2, True)
         some = np.flatnonzero(lacking(lone[around] & firsts, inside) <= most)
-        if not free[some].any():
+        some = some[np.isin(group[some], group[some[free[some]]])]
+        if not len(some):
             return found
         around, inside, firsts, plain = around[some], inside[some], firsts[some], plain[some]
-
-        for r in np.flatnonzero(free[some]).tolist():
-            k = some[r]
-            at_of = np.full(len(names) + 1, -1, np.int16)
-            at_of[around[r]] = np.arange(width)
-            at_of[-1] = -1
-            at_first = np.zeros(len(names) + 1, np.int16)
-            at_first[around[r][firsts[r]]] = np.flatnonzero(firsts[r])
-            rest = np.flatnonzero((root[some] != root[k]) & (d[some] != d[k]))
-            at = at_of[around[rest]]
-            common = ((at >= 0) & firsts[rest]).sum(axis=1)
-            good = np.flatnonzero((common >= least_both) | ((common > 0) & ~(plain[rest] & plain[r])))
-            rest, at, common = rest[good], at[good], common[good]
-            lacks = lacking((at < 0) & firsts[rest], inside[rest]).astype(np.int64)
-            good = np.flatnonzero(SIMILARITY * lacks <= (100 - SIMILARITY) * common)
-            if not len(good):
-                continue
-            rest, at, common, lacks = rest[good], at[good], common[good], lacks[good]
-            mine = np.broadcast_to(firsts[r], at.shape).copy()
-            row, column = np.nonzero(at >= 0)
-            mine[row, at_first[around[rest[row], column]]] = False
-            lacks += lacking(mine, np.broadcast_to(inside[r], mine.shape))
-            good = np.flatnonzero((lacks <= most) & (SIMILARITY * lacks <= (100 - SIMILARITY) * common))
-            rest, at = rest[good], at[good]
-            both = np.flatnonzero(plain[rest] & plain[r])
-            if len(both):
-                able = np.ones(len(rest), bool)
-                for lo in range(0, len(both), 128):
-                    able[both[lo : lo + 128]] = possible(at[both[lo : lo + 128]])
-                rest = rest[able]
-            for v in rest.tolist():
-                m = some[v]
-                if root[m] == root[k]:
-                    continue
-                (tx, x), (ty, y) = ((code[starts[w] : ends[w]], w) for w in ((k, m) if d[k] < d[m] else (m, k)))
-                boxes = passages(tx, ty)
-                for a, b, c, e in boxes:
-                    shared, union = _similarity(tx[a:b], ty[c:e])
-                    found.append((d[x], d[y], begin[x] + a, begin[x] + b, begin[y] + c, begin[y] + e, shared / union))
-                if boxes:
-                    root[root == root[m]] = root[k]
+        # tokens by their number in their key
+        bases = np.searchsorted(names >> U64(8 * TOKEN_BYTES), np.arange(len(heads) + 1, dtype=U64))
+        local = around - bases[group[some]][:, None]
+
+        def join(r: int, v: int) -> None:
+            k, m = some[r], some[v]
+            if root[m] == root[k]:
+                return
+            (tx, x), (ty, y) = ((code[starts[w] : ends[w]], w) for w in ((k, m) if d[k] < d[m] else (m, k)))
+            boxes = passages(tx, ty)
+            for a, b, c, e, shared, union in boxes:
+                found.append((d[x], d[y], begin[x] + a, begin[x] + b, begin[y] + c, begin[y] + e, shared / union))
+            if boxes:
+                own_root, (lo, hi) = root[m], edges[group[k]]
+                root[lo:hi][root[lo:hi] == own_root] = root[k]
+
+        edges = np.column_stack([heads, np.append(heads, len(key))[1:]])
+        cuts = np.append(_heads(group[some]), len(some))
+        sizes = np.diff(cuts)
+        # keys of few places: all their pairs at once; a pair of free places counts once
+        few = np.flatnonzero(sizes <= FEW_PLACES)
+        at = ragged(cuts[few], sizes[few])
+        left = np.repeat(at, np.repeat(sizes[few], sizes[few]))
+        right = ragged(np.repeat(cuts[few], sizes[few]), np.repeat(sizes[few], sizes[few]))
+        pick = np.flatnonzero(free[some[left]] & (~free[some[right]] | (right > left)) & (d[some[left]] != d[some[right]]))
+        left, right = left[pick], right[pick]
+        if len(left):
+            take = np.unique(np.concatenate([left, right]))
+            pick = able(local[take], inside[take], firsts[take], plain[take], np.searchsorted(take, left), np.searchsorted(take, right))
+            for r, v in zip(left[pick].tolist(), right[pick].tolist(), strict=True):
+                join(r, v)
+        # of many: one place after another, each only against places that it does not hang together with yet
+        for lo, hi in zip(cuts[:-1][sizes > FEW_PLACES].tolist(), cuts[1:][sizes > FEW_PLACES].tolist(), strict=True):
+            own = some[lo:hi]
+            for r in np.flatnonzero(free[own]).tolist():
+                rest = np.flatnonzero((root[own] != root[own[r]]) & (d[own] != d[own[r]]) & (~free[own] | (np.arange(hi - lo) > r)))
+                for v in rest[able(local[lo:hi], inside[lo:hi], firsts[lo:hi], plain[lo:hi], np.full(len(rest), r), rest)].tolist():
+                    join(lo + r, lo + v)
         return found
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("key").combine_chunks()
-        cuts = np.append(_heads(table.column("key").to_numpy()), table.num_rows)
+        heads = _heads(table.column("key").to_numpy())
+        cuts = [0]
+        for a, b in zip(heads.tolist(), np.append(heads, table.num_rows)[1:].tolist(), strict=True):
+            if a > cuts[-1] and b - cuts[-1] > PLACES:
+                cuts.append(a)
+        cuts.append(table.num_rows)
         found = [row for a, b in zip(cuts[:-1], cuts[1:], strict=True) for row in within(table.slice(a, b - a))]
         kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.float64()]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [[]] * 7, kinds, strict=True)], names=["x", "y", "a", "b", "c", "d", "similarity"])

@@ -170,3 +170,39 @@ def test_slices_do_not_matter(spark, frame):
         got = o.near_passages(df).collect()
         check(rows, got)
         assert (3, 1, 1.0) in {(r["doc_id"], r["match_doc_id"], r["similarity"]) for r in got}
+
+
+def linked(spark, rows, monkeypatch):
+    """What _linked_within's task finds in rows (key, d, begin, own, free, tokens), and how often it looks at sets of pairs."""
+    import pyarrow as pa
+
+    runs, calls = [], []
+    around = [(r[5] << np.uint64(24)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for r in rows]
+    table = pa.table({c: [r[i] for r in rows] for i, c in enumerate(("key", "d", "begin", "own", "free"))} | {"around": pa.array(around, pa.binary())})
+    empty = spark.createDataFrame([], "key long, d long, place int, free boolean, begin int, own int, n int, around binary, blocks int")
+    triu = np.triu_indices
+    with monkeypatch.context() as m:
+        m.setattr(type(empty.groupBy("key")), "applyInArrow", lambda self, f, schema: runs.append(f))
+        m.setattr(np, "triu_indices", lambda *a: (calls.append(1), triu(*a))[1])
+        o._linked_within(empty, 32)
+        got = runs[0](table).to_pylist()
+    return {tuple(r.values()) for r in got}, len(calls)
+
+
+def test_keys_are_held_together(spark, monkeypatch):
+    """Keys of one call give what each gives alone, and their pairs are looked at together; equal tokens of two keys do not meet."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for key in range(60):
+        base = rng.integers(0, 1 << 40, 91, dtype=np.uint64)
+        for k in range(3):
+            near = base.copy()
+            near[10 * k : 10 * k + 4] = rng.integers(0, 1 << 40, 4, dtype=np.uint64)
+            rows.append((key, 10 * key + k, 0, 45, k > 0, near))
+        if key % 3 == 0:
+            rows += [(key, 10 * key + 5 + k, 0, 45, True, np.full(91, 7, np.uint64)) for k in range(2)]
+    together, calls = linked(spark, rows, monkeypatch)
+    apart = [linked(spark, [r for r in rows if r[0] == key], monkeypatch) for key in range(60)]
+    assert together == set().union(*(x for x, _ in apart)) and len({x // 10 for x, *_ in together}) == 60
+    assert all(x // 10 == y // 10 for x, y, *_ in together)
+    assert calls < 20
