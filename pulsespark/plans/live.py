@@ -12,14 +12,16 @@ from pulsespark.sources.tables import UNIT, beats
 from pulsespark.streaming import live
 from pulsespark.streaming.monitor import shared_dir
 
-HOW = live.Live(irregular=1.4, least_confidence=50.0, flag_after=10)
+HOW = live.Live(irregular=1.4, least_confidence=50.0, flag_after=10, idle=float("inf"), pauses=True)
 SLICES, FILES = (24.0, 48.0), 4
+#: Nothing is late: slices come in order, but a micro-batch may hold files of two, where a slice has fewer than `FILES`.
+LATENESS = "1000000000 seconds"
 
 
 def arrivals(spark, sf_dir) -> str:
     """A folder of the beats in slices of time, each record's in one file a slice, as a recorder would leave them."""
     folder = f"{shared_dir(spark)}/arrivals-{uuid.uuid4().hex}"
-    b = beats(spark, sf_dir).select("rec", (F.col("us") / UNIT).alias("t"), "v", F.lit(False).alias("reset"))
+    b = beats(spark, sf_dir).where("rec IS NOT NULL").select("rec", (F.col("us") / UNIT).alias("t"), "v", F.lit(False).alias("reset"), "beat")
     for low, high in zip((None, *SLICES), (*SLICES, None), strict=True):
         part = b if low is None else b.where(F.col("t") > low)
         part = part if high is None else part.where(F.col("t") <= high)
@@ -27,6 +29,15 @@ def arrivals(spark, sf_dir) -> str:
     return folder
 
 
+def of_no_record(spark, sf_dir):
+    """Statuses of the beats without a record, which have seconds, but are no record's beats in any of them."""
+    t = F.col("us") / UNIT
+    ends = beats(spark, sf_dir).where("rec IS NULL").agg((F.floor(F.min(t)) + 1).alias("low"), (F.ceil(F.max(t)) - 1).alias("high"))
+    blank = {"seconds": "0D", "beats": "0L", "rhythm": "'collecting data'", "confident_s": "0L"}
+    seconds = ends.where("low <= high").select(F.explode(F.sequence("low", "high")).alias("second"))
+    return seconds.select(*[F.col("second") if c == "second" else F.expr(blank.get(c, "NULL")).cast(kind).alias(c) for c, kind in (x.split() for x in live.OUT.split(", "))])
+
+
 def nearest(c: str, digits: int) -> Column:
     """A double rounded as its value times a power of ten is: `F.round` rounds the shortest decimal that reads as the double, so
     means of sixteen values of two decimals, which end in a five, would go up where the double lies below."""
@@ -47,5 +58,5 @@ def nearest(c: str, digits: int) -> Column:
     CASE WHEN ok THEN extra END AS extra, CASE WHEN NOT ok THEN 'collecting data' WHEN NOT sure THEN 'signal unreliable' WHEN irregular THEN 'irregular rhythm' ELSE 'regular rhythm' END AS rhythm, confident_s, CASE WHEN mid < 50 THEN 'slow' WHEN mid > 100 THEN 'fast' WHEN mid IS NOT NULL THEN 'normal' END AS flag FROM f""")
 def live_status(spark, sf_dir):
     """A status for every second (unit of time) of every record, by a stream of several micro-batches."""
-    got = live.replay(spark, arrivals(spark, sf_dir), HOW, FILES).where("rhythm <> 'closed'")
+    got = live.replay(spark, arrivals(spark, sf_dir), HOW, FILES, LATENESS).unionByName(of_no_record(spark, sf_dir))
     return got.select("rec", "second", nearest("seconds", 6), "beats", nearest("rate", 5), "method", nearest("confidence", 5), nearest("rmssd", 4), "extra", "rhythm", "confident_s", "flag")

@@ -119,6 +119,13 @@ def test_beats_of_one_time_have_the_rate_of_the_sql(spark, tmp_path):
     assert not wrong and sum(r["rate"] == float("inf") for r in got) > 0
 
 
+def test_pauses_silence_and_unknowns_as_in_sql(spark, tmp_path):
+    # two users leave slices with fewer files than a micro-batch takes; user 5's beats have no record; 100 days are 240 seconds
+    odd = "event_id + 100000 * k as event_id, case when event_id % 11 = 0 then null else ts + to_days(cast(100 * k as int)) end as ts, nullif(user_id, 5) as user_id, case when event_id % 7 = 0 then null else value end as value"
+    got, wrong = differences(spark, tmp_path, f"select * replace ({odd}) from given, range(2) r(k) where user_id in (1, 5, 24)")
+    assert not wrong and sum(r["rec"] is None for r in got) > 300 and sum(r["beats"] == 0 for r in got if r["rec"] == 1) > 100
+
+
 def test_statuses_do_not_depend_on_cuts_nor_on_other_records():
     r, how = np.random.default_rng(0), live.Live(span=8.0, least_seconds=1.0, flag_after=5)
     frame = rows({k: (np.round(np.cumsum(r.exponential(0.8, 60) * r.choice([1, 1, 1, 30], 60)), 1), r.uniform(0.3, 1, 60)) for k in range(6)})
