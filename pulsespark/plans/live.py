@@ -14,7 +14,7 @@ from pulsespark.streaming.monitor import shared_dir
 
 HOW = live.Live(irregular=1.4, least_confidence=50.0, flag_after=10, idle=float("inf"), pauses=True)
 SLICES, FILES = (24.0, 48.0), 4
-#: Nothing is late: slices come in order, but a micro-batch may hold files of two, where a slice has fewer than `FILES`.
+#: Nothing is late: slices come in order, but a micro-batch may hold files of two, or a part of those of one.
 LATENESS = "1000000000 seconds"
 
 
@@ -29,6 +29,11 @@ def arrivals(spark, sf_dir) -> str:
     return folder
 
 
+def batch_files(spark, folder: str) -> int:
+    """Files of a micro-batch, so that there are no more of these than slices, however many files Spark wrote a slice."""
+    return max(1, -(-len(spark.read.schema(live.ROWS).parquet(folder).inputFiles()) // (len(SLICES) + 1)))
+
+
 def of_no_record(spark, sf_dir):
     """Statuses of the beats without a record, which have seconds, but are no record's beats in any of them."""
     t = F.col("us") / UNIT
@@ -58,5 +63,6 @@ def nearest(c: str, digits: int) -> Column:
     CASE WHEN ok THEN extra END AS extra, CASE WHEN NOT ok THEN 'collecting data' WHEN NOT sure THEN 'signal unreliable' WHEN irregular THEN 'irregular rhythm' ELSE 'regular rhythm' END AS rhythm, confident_s, CASE WHEN mid < 50 THEN 'slow' WHEN mid > 100 THEN 'fast' WHEN mid IS NOT NULL THEN 'normal' END AS flag FROM f""")
 def live_status(spark, sf_dir):
     """A status for every second (unit of time) of every record, by a stream of several micro-batches."""
-    got = live.replay(spark, arrivals(spark, sf_dir), HOW, FILES, LATENESS).unionByName(of_no_record(spark, sf_dir))
+    folder = arrivals(spark, sf_dir)
+    got = live.replay(spark, folder, HOW, batch_files(spark, folder), LATENESS).unionByName(of_no_record(spark, sf_dir))
     return got.select("rec", "second", nearest("seconds", 6), "beats", nearest("rate", 5), "method", nearest("confidence", 5), nearest("rmssd", 4), "extra", "rhythm", "confident_s", "flag")

@@ -159,3 +159,14 @@ def test_samples_of_many_records():
         want = live.Monitor(how).feed(frame[frame.rec == k][["t", "v", "reset"]].itertuples(index=False))
         got = both[both.rec == k][["second", "beats", "rhythm"]]
         assert list(got.itertuples(index=False, name=None)) == [(x[0], x[2], x[8]) for x in want]
+
+
+def test_slices_of_more_files_are_as_many_micro_batches(spark, tmp_path, monkeypatch):
+    from pulsespark.plans import live as plan
+
+    monkeypatch.setattr(plan, "FILES", 20)
+    folders, begin = [], plan.arrivals
+    monkeypatch.setattr(plan, "arrivals", lambda *x: folders.append(begin(*x)) or folders[-1])
+    got, wrong = differences(spark, tmp_path, "select * from given where user_id < 12")
+    assert not wrong and len(got) > 700
+    assert len(spark.read.parquet(folders[0]).inputFiles()) > 15 and plan.batch_files(spark, folders[0]) > 5
